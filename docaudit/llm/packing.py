@@ -30,24 +30,34 @@ WINDOWS, SLACK, PARTS = 128, 3, 4
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
     """Indices of sizes in k sets of nearly equal sums (largest differencing, k-way)."""
-    heap = []
+    n, heap, made = len(sizes), [], []
     for i, size in enumerate(sizes):
         sums = np.zeros(k, np.int64)
         sums[-1] = size
-        heap.append((-size, i, sums, [[] for _ in range(k - 1)] + [[i]]))
+        heap.append((-size, i, sums))
     heapq.heapify(heap)
-    tie = len(sizes)
     while len(heap) > 1:
-        _, _, a, left = heapq.heappop(heap)
-        _, _, b, right = heapq.heappop(heap)
-        sums = a + b[::-1]  # the largest of one meets the smallest of the other
-        order = np.argsort(sums, kind="stable")
-        merged = [left[j] + right[k - 1 - j] for j in order.tolist()]
+        _, a, left = heapq.heappop(heap)
+        _, b, right = heapq.heappop(heap)
+        sums = left + right[::-1]  # the largest of one meets the smallest of the other
+        order = sums.argsort(kind="stable")
         sums = sums[order]
         sums -= sums[0]  # a common part does not count
-        heapq.heappush(heap, (-int(sums[-1]), tie, sums, merged))
-        tie += 1
-    return heap[0][3] if heap else []
+        heapq.heappush(heap, (-int(sums[-1]), n + len(made), sums))
+        made.append((a, b, order))
+    sets: list[list[int]] = [[] for _ in range(k if n else 0)]
+    # downwards: the set in which each place of a partial partition ends up; an item's place is the last
+    places = {n + len(made) - 1: np.arange(k)} if n else {}
+    for at in range(n + len(made) - 1, -1, -1):
+        place = places.pop(at)
+        if at < n:
+            sets[place[-1]].append(at)
+            continue
+        a, b, order = made[at - n]
+        places[a], places[b] = np.empty(k, np.int64), np.empty(k, np.int64)
+        places[a][order] = place
+        places[b][k - 1 - order] = place
+    return sets
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:

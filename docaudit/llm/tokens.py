@@ -1,9 +1,9 @@
 """Public tokenizers with a memo of the units that their pre-tokenizers never join.
 
-Both vocabularies cut a text at white space before they merge anything, so a unit (a run without space or line feed, for
-the byte-level one with the single space before it) has the same ids alone as inside its text. The memo maps a unit to
+Both vocabularies cut a text at white space before they merge anything, so a word (a run without space or line feed, for
+the byte-level one with the single space before it) has the same ids alone as inside its text. The memo maps a word to
 its ids; what it lacks goes to the tokenizer. Letters alone go to its merge model at once. Texts with other white space or with scripts whose characters combine go
-to the tokenizer whole.
+to the tokenizer whole, and so do runs of white space for the byte-level one.
 """
 
 from __future__ import annotations
@@ -13,15 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Units kept by a worker; the memo starts again beyond that, which bounds its memory to about 150 MB.
-MEMO_UNITS = 900_000
+#: Words kept by a worker; the memo starts again beyond that, which bounds its memory to about 250 MB.
+MEMO_UNITS = 1_200_000
 #: Code points of a text that one step handles.
 STEP = 1 << 20
 
-_UNITS = re.compile(r" ?[^ \n]+|[ \n]+\Z|[ \n]+(?=[ \n])|[ \n]")
 _OUTSIDE = re.compile("[^\n -~\xa1-\xac\xae-ɏ‐-‧‰-⁞₠-₿Ͱ-ͳЀ-҂Ҋ-ԯ]")
+_CONTROLS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_RUNS = ("  ", " \n", "\n ", "\n\n")
 _CUT = re.compile(r"(?<=[^\s]) (?=[^\s])")
-_WORD_AND_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'<]*)\Z")
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'<]*)\Z")
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level vocabularies write a byte as its own character if that prints, the others as the characters from 256 on.
 _AS_CHARACTER = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -41,34 +42,53 @@ class Memo(dict):
         self.spaced = self.tokenizer.encode("a b", add_special_tokens=False).ids != [
             *self.tokenizer.encode("a", add_special_tokens=False).ids, *self.tokenizer.encode("b", add_special_tokens=False).ids]
         self.model = self.tokenizer.model
+        self.lead = " " if self.spaced else ""
+        self.newline = self.plain("\n")
+        self.marks: dict[str, bytes] = {"": b""}
         self.room = MEMO_UNITS
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, unit: str) -> bytes:
-        m = _WORD_AND_MARKS.match(unit)
-        if not m:
-            ids = self.plain(unit)
-        elif m[2]:
-            ids = self[m[1]] + self[m[2]] if len(m[2]) < 9 else self[m[1]] + self.plain(m[2])
-        else:  # letters alone are one piece for the vocabulary's pre-tokenizer
-            piece = unit if self.spaced else unit.lower()
-            piece = piece.encode().decode("latin-1").translate(_AS_CHARACTER)
-            ids = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+    def _piece(self, letters: str) -> bytes:
+        """Letters alone, with the space before them, are one piece for the pre-tokenizer."""
+        piece = (letters if self.spaced else letters.lower()).encode().decode("latin-1").translate(_AS_CHARACTER)
+        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(marks) > 8 or len(self.marks) > 10_000:
+                return self.plain(marks)
+            self.marks[marks] = self.plain(marks)
+        return self.marks[marks]
+
+    def __missing__(self, key: str) -> bytes:
+        """Ids of a word with the space before it, or of a line feed and the word after it."""
+        lead, before, word = self.lead, b"", key
+        if lead and key[0] == "\n":
+            lead, before, word = "", self.newline, key[1:]
+        if not (m := _WORD.match(word)):
+            ids = before + self.plain(lead + word)
+        elif m[2] and lead:
+            ids = self[m[1]] + self._marks(m[2])
+        else:
+            ids = before + self._piece(lead + m[1]) + self._marks(m[2])
         if self.room <= 0:
             self.clear()
             self.room = MEMO_UNITS
         self.room -= 1
-        self[unit] = ids
+        self[key] = ids
         return ids
 
     def _step(self, text: str) -> bytes:
-        if _OUTSIDE.search(text):
+        if any(c in text for c in _CONTROLS) if text.isascii() else _OUTSIDE.search(text):
             return self.plain(text)
-        if self.spaced:
-            return b"".join(map(self.__getitem__, _UNITS.findall(text)))
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if not self.spaced:
+            return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if any(r in text for r in _RUNS) or text[:1] in ("", " ", "\n") or text[-1] in " \n":
+            return self.plain(text)
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self.plain(first) + b"".join(map(self.__getitem__, rest))
 
     def steps(self, text: str) -> Iterator[bytes]:
         """Ids as little-endian 32-bit integers, a bounded part of the text at a time."""
@@ -78,7 +98,7 @@ class Memo(dict):
             if not cut:
                 break
             yield self._step(text[at : cut.start()])
-            at = cut.start()
+            at = cut.start()  # the byte-level vocabulary takes the space with the word after it
         yield self._step(text[at:] if at else text)
 
     def ids(self, text: str | None) -> bytes:
