@@ -111,10 +111,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return out[0], out[1]
 
 
-def _piece_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: For plain words: all but letters, digits and bytes beyond ASCII separate.
+MARKS = np.ones(256, bool)
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def _piece_words(data: np.ndarray, cuts: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of one piece; cuts are positions where a text begins."""
     n = len(data)
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[cuts] = True
     before = np.empty(n, bool)
@@ -135,10 +140,10 @@ def _piece_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, hashes
 
 
-def word_pieces(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def word_pieces(data: np.ndarray, ends: np.ndarray, space: np.ndarray = _SPACE) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first text, last text + 1, offset, text index, starts, ends, hashes of words) for pieces of about PIECE bytes.
 
-    A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased. A text longer than a piece
+    A word is a maximal run of bytes that are not in space (0x20 and 0x09-0x0D if not given), A-Z lower-cased. A text longer than a piece
     continues in the next one; pieces of one text are cut at white space.
     """
     n, at, text = len(ends) - 1, 0, 0
@@ -150,11 +155,11 @@ def word_pieces(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int,
             if ends[last] > at:
                 stop = int(ends[last])
             else:
-                spaces = np.flatnonzero(_SPACE[data[at:stop]])
+                spaces = np.flatnonzero(space[data[at:stop]])
                 if len(spaces):
                     stop = at + int(spaces[-1]) + 1
                 else:
-                    rest = np.flatnonzero(_SPACE[data[stop : int(ends[last + 1])]])
+                    rest = np.flatnonzero(space[data[stop : int(ends[last + 1])]])
                     stop = stop + int(rest[0]) + 1 if len(rest) else int(ends[last + 1])
         first = int(np.searchsorted(ends, at, "right")) - 1
         if stop >= total:
@@ -165,7 +170,7 @@ def word_pieces(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int,
         if stop > at:
             cuts = ends[first : upto + 1]
             cuts = cuts[(cuts > at) & (cuts < stop)] - at
-            s, e, h = _piece_words(data[at:stop], np.unique(np.append(cuts, 0)))
+            s, e, h = _piece_words(data[at:stop], np.unique(np.append(cuts, 0)), space)
             owner = np.searchsorted(ends, s + at, "right") - 1
             yield first, upto, at, owner, s + at, e + at, h
         if stop >= total:
@@ -174,11 +179,11 @@ def word_pieces(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int,
         text = first if at < ends[first + 1] else upto
 
 
-def words_by_text(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def words_by_text(column: pa.Array, space: np.ndarray = _SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index, word hashes, word starts and ends) of each text that has a word."""
     data, ends = text_parts(column)
     open_text, parts = -1, []
-    for _, _, _, owner, s, e, h in word_pieces(data, ends):
+    for _, _, _, owner, s, e, h in word_pieces(data, ends, space):
         if not len(owner):
             continue
         where = np.flatnonzero(np.diff(owner)) + 1

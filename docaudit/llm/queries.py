@@ -3,17 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, packing, token_store, tokens, warc
+from . import decontam, html_text, line_dedup, media, ngram_join, packing, quality, secret_scan, token_store, tokens, warc
 from .common import new_folder, table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a classifier learned from labels outside fold 0."""
+    documents = table(spark, sf_dir, "documents")
+    scores = quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, read back: one row per page with its whole payload's length and digest."""
     manifest = warc.write_archives(table(spark, sf_dir, "pages"), new_folder(spark, "warc"), least_bytes=0)
     return warc.read_chunks(spark, manifest, with_payload=False).where("last").selectExpr("page_id", "total_bytes AS payload_bytes", "digest_so_far AS payload_digest", "record_type", "refers_to")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under links of a Jaccard similarity of 0.75 or more."""
+    return ngram_join.near_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents."""
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
     files = token_store.write_token_files(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), tokens.vocabulary("word_bpe_49k.json"), end_id=2)
@@ -30,7 +53,17 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_rows(table(spark, sf_dir, "documents"), new_folder(spark, "media"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_records, op6_token_file, op7_pack, op8_media_columns)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold an item of the benchmark, with the item and the figures found."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that go from each of all documents."""
+    return line_dedup.removals(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc_records, op3_ngram_join, op4_secrets, op5_main_text, op6_token_file, op7_pack, op8_media_columns, op9_decontamination, op10_line_dedup)}
 
 ORACLES = {
     "op2_warc_records": """
