@@ -1,8 +1,10 @@
 """Fuzzy line deduplication: one line stays of each group of near-equal lines of a corpus. DataFrame operations only.
 
-Lines are compared in lower case, trimmed. A line's shingles are the SHINGLE characters from the start of each word on.
-1. BANDS x ROWS minima of its shingles' hashes, aggregated as the shingles stream by; each band is a bucket's key.
-2. In each bucket lines are compared with its smallest line; those that are not near to it go round again among themselves.
+Lines are compared in lower case, trimmed, by their shingles: the SHINGLE characters from each place on.
+1. Minima of BANDS x ROWS hashes, aggregated as the shingles stream by (of the shingles whose hash has two low bits of 0,
+   and the first one); ROWS of them are a bucket's key.
+2. In each bucket lines are compared with its smallest line; those that are not near to it are compared with each other, in
+   pairs if PAIRED or fewer are left, else in another round, in parts that agree in a further minimum.
 3. A pair counts as near if the exact Jaccard similarity of its shingle sets is LEAST or more.
 4. Union-find over the pairs; of each component the first line (by doc_id, then by place) stays.
 
@@ -18,34 +20,45 @@ from pyspark.sql import functions as F
 from .components import components
 from .common import forget, written
 
-SHINGLE, BANDS, ROWS, LEAST, LEAST_CHARS = 12, 8, 3, 0.75, 16
-#: Places of a line within a document, for the order of lines.
-_PLACES = 1 << 31
+SHINGLE, BANDS, ROWS, LEAST, LEAST_CHARS = 12, 8, 4, 0.75, 16
+#: Lines left of a bucket up to which all their pairs are compared.
+PAIRED = 32
+#: Minima that divide a larger bucket (near lines agree in one of them with a probability of 0.999), and keys that may be broadcast.
+FURTHER, FEW = 5, 20_000
+#: Stands for a null doc_id in the order of documents.
 _NO_ID = -(1 << 63)
 
 
-def _shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(r"(?s)(?:^|(?<= ))(?=(.{1,%d}))" % SHINGLE), 1)
+def _shingle(units: str, at: Column) -> Column:
+    """The shingle at a place (from 0) of UTF-16 units; substring of bytes takes the same time at each place."""
+    return F.substring(F.col(units), 2 * at + 1, F.lit(2 * SHINGLE))
 
 
-def _place(doc_id: Column, line_no: Column) -> Column:
-    """One number for (doc_id, line_no), in their order."""
-    return F.coalesce(doc_id.cast("long"), F.lit(_NO_ID)).cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(11,0)") + line_no.cast("decimal(11,0)")
+def _places(units: str) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.octet_length(units) / 2).cast("int") - SHINGLE))
+
+
+def _shingles(units: str) -> Column:
+    return F.array_distinct(F.transform(_places(units), lambda at: F.xxhash64(_shingle(units, at))))
 
 
 def lines(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, key) of every line that may go; line as it is compared, key its hash."""
-    split = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    split = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return split.select("doc_id", "line_no", F.lower(F.trim("line")).alias("line")).where(F.length("line") >= LEAST_CHARS).withColumn("key", F.xxhash64("line"))
 
 
 def _signatures(found: DataFrame) -> DataFrame:
-    """key, place of its first line, number of lines, and its bands."""
+    """key, its first document, whether it occurs again, and its minima."""
     salts = [(0x9E3779B1 * (k + 1) & 0xFFFFFFFF) - (1 << 31) for k in range(BANDS * ROWS)]
-    streamed = found.select("key", _place(F.col("doc_id"), F.col("line_no")).alias("place"), F.explode(_shingles(F.col("line"))).alias("s")).withColumn("h", F.hash("s"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{k}") for k, s in enumerate(salts)]
-    bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return streamed.groupBy("key").agg(F.min("place").alias("place"), F.max("place").alias("last"), *minima).select("key", "place", (F.col("last") != F.col("place")).alias("again"), F.array(*bands).alias("bands"))
+    units = found.select("key", "doc_id", "line_no", F.encode("line", "UTF-16BE").alias("units"))
+    streamed = units.select("key", "doc_id", "line_no", "units", F.explode(_places("units")).alias("at")).select("key", "doc_id", "line_no", "at", F.hash(_shingle("units", F.col("at"))).alias("h"))
+    some = streamed.where((F.col("h").bitwiseAND(F.lit(3)) == 0) | (F.col("at") == 0))
+    minima = [F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(salts)]
+    ranges = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "line_no") for n, f in (("least", F.min), ("most", F.max))]
+    grouped = some.groupBy("key").agg(*ranges, *minima)
+    again = (F.col("least_doc_id") != F.col("most_doc_id")) | (F.col("least_line_no") != F.col("most_line_no"))
+    return grouped.select("key", F.col("least_doc_id").alias("first_id"), again.alias("again"), F.array(*[f"m{k}" for k in range(BANDS * ROWS)]).alias("minima"))
 
 
 def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -53,57 +66,71 @@ def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def of(side: str) -> DataFrame:
         return texts.select(F.col("key").alias(side), F.col("line").alias(f"line_{side}"))
 
-    sets = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", *[F.array_distinct(_shingles(F.col(f"line_{s}"))).alias(f"set_{s}") for s in "ab"])
+    units = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", *[F.encode(f"line_{s}", "UTF-16BE").alias(f"units_{s}") for s in "ab"])
+    sets = units.select("a", "b", _shingles("units_a").alias("set_a"), _shingles("units_b").alias("set_b"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return sets.where(shared >= LEAST * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
+def _leaders(members: DataFrame) -> DataFrame:
+    return members.groupBy("band").agg(F.min("key").alias("leader"), F.count("*").alias("n")).where("n > 1")
+
+
+def _minima_of(left: DataFrame, signatures: DataFrame) -> DataFrame:
+    """left with the minima of its keys; broadcast if they are few, which is checked."""
+    keys = left.select("key").distinct()
+    return left.join(signatures.select("key", "minima").join(F.broadcast(keys) if keys.count() <= FEW else keys, "key", "left_semi"), "key")
+
+
 def near_links(found: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Links between keys of near lines; every member of a bucket is linked with a near leader or leads itself."""
-    buckets = signatures.select(F.explode("bands").alias("band"), "key")
-    several = buckets.groupBy("band").agg(F.min("key").alias("leader"), F.max("key").alias("largest")).where("leader < largest").select("band", "leader")
-    members = written(buckets.join(several, "band"), "line-buckets")
-    wanted = members.select("key").distinct()
-    texts = written(found.select("key", "line").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line")), "line-texts")
-    links = None
+    """Links between keys of near lines; every member of a bucket is linked with a near leader or compared further."""
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col("minima")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
+    buckets = signatures.select(F.explode(bands).alias("band"), "key")
+    members = written(buckets.join(_leaders(buckets).select("band", "leader"), "band"), "line-buckets")
+    texts = written(found.select("key", "line").join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("line").alias("line")), "line-texts")
+    links, level = None, 0
     while True:
         pairs = members.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
         near = written(_near(pairs, texts), "line-links")
         links = near if links is None else links.unionByName(near)
-        left = members.where("key <> leader").join(near, (F.col("key") == F.col("a")) & (F.col("leader") == F.col("b")), "left_anti").select("band", "key")
-        left = written(left, "line-left")
-        again = left.groupBy("band").agg(F.min("key").alias("leader"), F.max("key").alias("largest")).where("leader < largest").select("band", "leader")
-        rest = written(left.join(again, "band"), "line-buckets")
-        forget(members)
-        forget(left)
-        members = rest
-        if members.isEmpty():
-            forget(members)
+        left = written(members.where("key <> leader").join(near, (F.col("key") == F.col("a")) & (F.col("leader") == F.col("b")), "left_anti").select("band", "key"), "line-left")
+        sizes = _leaders(left)
+        # what is left of a bucket is compared in pairs once it is small; a larger one is divided by further minima
+        few = left.join(sizes.where(F.col("n") <= PAIRED).select("band"), "band")
+        each = few.select("band", F.col("key").alias("a")).join(few.select("band", F.col("key").alias("b")), "band").where("a > b").select("a", "b").distinct()
+        links = links.unionByName(written(_near(each, texts), "line-links"))
+        many = left.join(sizes.where(F.col("n") > PAIRED).select("band"), "band")
+        if many.isEmpty():
             return links
+        if level < BANDS * ROWS // FURTHER:
+            further = [F.xxhash64("band", F.lit(k), F.col("minima")[k]) for k in range(level * FURTHER, (level + 1) * FURTHER)]
+            many = written(_minima_of(many, signatures).select(F.explode(F.array(*further)).alias("band"), "key"), "line-parts")
+        members = written(many.join(_leaders(many).select("band", "leader"), "band"), "line-buckets")
+        level += 1
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of every line that goes."""
+    """(doc_id, line_no) of every line that goes; a null doc_id as _NO_ID."""
     found = lines(documents)
     signatures = written(_signatures(found), "line-signatures")
     roots = components(near_links(found, signatures))
-    grouped = signatures.select("key", "place", "again").join(roots, F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("root", "key"))
-    first = grouped.groupBy("group").agg(F.min("place").alias("keep"), F.count("*").alias("n"), F.max("again").alias("any"))
-    # only keys of which a line goes come back
-    going = grouped.join(first.where("n > 1 OR any"), "group").where(F.col("again") | (F.col("place") != F.col("keep"))).select("key", "keep")
-    places = found.select("doc_id", "line_no", "key")
-    return places.join(going, "key").where(_place(F.col("doc_id"), F.col("line_no")) != F.col("keep")).select("doc_id", "line_no")
+    grouped = signatures.select("key", "first_id", "again").join(roots, F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("root", "key"))
+    first = grouped.groupBy("group").agg(F.min("first_id").alias("keep_id"), F.count("*").alias("n"), F.max("again").alias("any")).where("n > 1 OR any").select("group", "keep_id")
+    # only lines of groups of several come back
+    several = written(found.select("doc_id", "line_no", "key").join(grouped.select("key", "group").join(first, "group"), "key").select("doc_id", "line_no", "group", "keep_id"), "line-groups")
+    keep = several.where("doc_id = keep_id").groupBy("group").agg(F.min("line_no").alias("keep_no"))
+    return several.join(keep, "group").where("doc_id <> keep_id OR line_no <> keep_no").select("doc_id", "line_no")
 
 
 def _by_document(removed: DataFrame) -> DataFrame:
-    return removed.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.col("doc_id").isNull().alias("_none")).agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    return removed.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def removals(documents: DataFrame) -> DataFrame:
     """Per document: its number of lines, of those removed, and their places (from 0)."""
     sizes = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    sizes = sizes.select("doc_id", F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.col("doc_id").isNull().alias("_none"))
-    out = sizes.join(_by_document(written(removed_lines(documents), "removed-lines")), ["_id", "_none"], "left")
+    sizes = sizes.select("doc_id", F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"))
+    out = sizes.join(_by_document(written(removed_lines(documents), "removed-lines")), "_id", "left")
     places = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", F.size(places).cast("long").alias("n_removed"), places.alias("removed"))
 
@@ -111,8 +138,8 @@ def removals(documents: DataFrame) -> DataFrame:
 def deduplicated(documents: DataFrame) -> DataFrame:
     """documents with their columns, without the lines that go; documents that lose every line go too."""
     columns = documents.columns
-    keyed = documents.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_none", F.col("doc_id").isNull())
-    out = keyed.join(_by_document(written(removed_lines(documents), "removed-lines")), ["_id", "_none"], "left")
+    keyed = documents.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
+    out = keyed.join(_by_document(written(removed_lines(documents), "removed-lines")), "_id", "left")
     split = F.split("text", "\n")
     kept = F.filter(split, lambda x, i: ~F.array_contains("removed", i))
     left = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
