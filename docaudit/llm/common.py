@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,13 +39,16 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/docaudit-{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, partition_by: str | None = None) -> DataFrame:
+def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     path = new_folder(df.sparkSession, what)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    writer.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._docaudit_path = path  # for forget()
+    # Spark deletes the shuffle files of plans that are done once the driver has collected them as garbage
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     return out
 
 

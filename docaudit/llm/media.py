@@ -11,7 +11,6 @@ repeated rows and rows with one doc_id each have a row; other columns are ignore
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import zlib
@@ -32,8 +31,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SHARD_BYTES, REMEMBERED = 256 << 20, 1 << 17
 HEADER_BYTES = 33
 
-ADDRESSES = "digest string, shard string, offset long, length long"
-OBJECTS = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, bit_depth int, color_type int, feature string"
+ADDRESSES = "digest binary, shard string, offset long, length long"
+OBJECTS = "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, width long, height long, bit_depth int, color_type int, feature string"
 
 
 def padded(data: bytes) -> bytes:
@@ -49,7 +48,7 @@ def encode(payload: bytes) -> bytes:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
     lines = np.zeros((len(rows), ROW + 1), np.uint8)  # filter type 0 before each line
     lines[:, 1:] = rows
-    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", ROW // 3, len(rows), 8, 2, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines, 3)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", ROW // 3, len(rows), 8, 2, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines, 6)) + _chunk(b"IEND", b"")
 
 
 def header(data: bytes) -> tuple[int, int, int, int]:
@@ -85,8 +84,8 @@ class _Shard:
     def __init__(self, folder: str, number: int):
         self.file = common.SharedFile(folder, f"media-{common.task_number():06d}-{number:04d}.tar")
 
-    def add(self, digest: str, data: bytes) -> int:
-        info = tarfile.TarInfo(f"{digest}.png")
+    def add(self, digest: bytes, data: bytes) -> int:
+        info = tarfile.TarInfo(f"{digest.hex()}.png")
         info.size = len(data)
         self.file.write(info.tobuf(tarfile.USTAR_FORMAT))
         at = self.file.write(data)
@@ -103,7 +102,7 @@ def _store(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
     for batch in batches:
         for text in batch.column("text"):
             payload = padded(text.as_buffer().to_pybytes() if text.is_valid else b"")
-            digest = hashlib.sha256(payload).hexdigest()
+            digest = hashlib.sha256(payload).digest()
             if digest in seen:
                 seen.move_to_end(digest)
                 continue
@@ -139,7 +138,7 @@ def _read(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBa
             if full:
                 data = bytes(file.read_at(r["length"], r["offset"]))
                 payload = decode(data)
-                row |= {"payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_sha256": hashlib.sha256(data).hexdigest(), "feature": f"png/{width}x{height}/{feature(payload)}"}
+                row |= {"payload_sha256": hashlib.sha256(payload).digest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_sha256": hashlib.sha256(data).digest(), "feature": f"png/{width}x{height}/{feature(payload)}"}
             rows.append(row)
         yield pa.RecordBatch.from_pylist(rows, schema=_arrow(OBJECTS))
 
@@ -163,8 +162,8 @@ def media_rows(documents: DataFrame, folder: str) -> DataFrame:
     size = F.octet_length(text)
     spaces = (F.greatest(F.lit(1), F.ceil(size / ROW)) * ROW - size).cast("int")
     payload = F.concat(F.encode(text, "UTF-8"), F.encode(F.repeat(F.lit(" "), spaces), "UTF-8"))
-    rows = documents.select("doc_id", size.cast("long").alias("n_bytes"), F.sha2(payload, 256).alias("digest"))
-    objects = read_media(store(documents, folder)).drop("width", "height", "bit_depth", "color_type")
-    # digests of large groups of copies are split: each object has a copy for each of eight salts
-    salted = objects.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(8)])))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int")).join(salted, ["digest", "salt"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    rows = documents.select("doc_id", size.cast("long").alias("n_bytes"), F.unhex(F.sha2(payload, 256)).alias("digest"))
+    objects = read_media(store(documents, folder))
+    # a digest of many copies is a skewed key of a join, which Spark splits; hashes travel as bytes
+    joined = rows.join(objects, "digest")
+    return joined.select("doc_id", "n_bytes", "payload_bytes", *[F.lower(F.hex(c)).alias(c) if c.endswith("sha256") else F.col(c) for c in ("payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")])
