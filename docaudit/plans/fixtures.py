@@ -6,7 +6,7 @@ AI_PARAGRAPHS = """SELECT * FROM VALUES
  ('structured', '首先，通过统一平台全面提升管理效率。其次，通过统一接口全面保障数据质量。此外，持续优化流程降低风险。另一方面，最后形成闭环实现协同。'),
  ('plain', '系统部署在两台服务器上，数据库每晚备份一次。值班人员收到告警后十分钟内响应。') AS t(doc_id, text)"""
 # hits: 首先, 其次, 此外, 一方面 inside 另一方面, 另一方面, 最后 over 4 sentences; 通过统一 x2, 全面提升, 全面保障, 持续优化, 降低风险, 形成闭环, 实现协同
-AI_EXPECTED = """SELECT * FROM (VALUES ('structured', 4, 1.0, 1.0), ('plain', 2, 0.0, 0.0)) t(doc_id, sentences, transition_density, generic_phrase_density)"""
+AI_EXPECTED = """SELECT doc_id, sentences, transition_density::DOUBLE AS transition_density, generic_phrase_density::DOUBLE AS generic_phrase_density FROM (VALUES ('structured', 4, 1.0, 1.0), ('plain', 2, 0.0, 0.0)) t(doc_id, sentences, transition_density, generic_phrase_density)"""
 
 RULES = """[{"rule_id":"r1","title":"投标函签署","expected_company_names":["星河科技有限公司","星河科技"],"expected_signer_names":["张三"],"require_signature":true,"require_seal":true,"require_date":true,"allowed_pages":[%s],"anchor_terms":["投标人","法定代表人"],"date_not_before":"2026-09-01","date_not_after":"2026-09-30"}]"""
 #: (document, allowed page, evidence of page 1).
@@ -18,7 +18,7 @@ EVIDENCE = {
     "unseen": ("1", '[{"page_number":1,"native_text":"","ocr_status":"failed","vision_status":"disabled"}]'),
     "conflict": ("1", '[{"page_number":1,"native_text":"投标人 星河科技 张三 2026年9月20日 另见 2026.09.21 及 2026年2月30日","ocr_status":"ok","vision_status":"ok","candidates":[{"candidate_id":"c1","kind":"signature","confidence":0.9},{"candidate_id":"c2","kind":"seal","confidence":0.9}]}]'),
 }
-SIG_FINDINGS = """SELECT * FROM (VALUES
+SIG_FINDINGS = """SELECT document_id, issue_code, severity, score::DOUBLE AS score FROM (VALUES
  ('wrong', 'missing_signature', 'high', 0.9), ('wrong', 'missing_seal', 'high', 0.9), ('wrong', 'company_name_mismatch', 'high', 0.88), ('wrong', 'signer_name_mismatch', 'high', 0.88), ('wrong', 'date_out_of_range', 'high', 0.9),
  ('weak', 'signature_low_confidence', 'medium', 0.5), ('weak', 'signature_quality_issue', 'medium', 0.65), ('weak', 'seal_low_confidence', 'medium', 0.45), ('weak', 'seal_quality_issue', 'medium', 0.65), ('weak', 'company_name_low_confidence', 'medium', 0.4), ('weak', 'signer_name_low_confidence', 'medium', 0.4), ('weak', 'date_low_confidence', 'medium', 0.4),
  ('elsewhere', 'required_location_missing', 'high', 0.9), ('elsewhere', 'missing_signature', 'high', 0.9), ('elsewhere', 'missing_seal', 'high', 0.9), ('elsewhere', 'company_name_evidence_unavailable', 'medium', 0.6), ('elsewhere', 'signer_name_evidence_unavailable', 'medium', 0.6), ('elsewhere', 'date_evidence_unavailable', 'medium', 0.6),

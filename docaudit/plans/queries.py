@@ -229,8 +229,8 @@ def semantic_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 IMAGES = """bits AS (SELECT vec_id, label, embedding::DOUBLE[] AS c FROM embeddings),
 med AS (SELECT *, list_sort(c[2:64])[32] AS m FROM bits),
-ph AS (SELECT vec_id, label, list_reduce(list_prepend(0::UBIGINT, list_transform(c, lambda x: CASE WHEN x > m THEN 1::UBIGINT ELSE 0::UBIGINT END)), lambda a, b: (a << 1) | b) AS h FROM med),
-img AS (SELECT vec_id, vec_id // 50 AS batch, label AS doc_id, vec_id AS image_id, h, sha256(printf('%016x', h)) AS sha256, 6 + vec_id % 100 AS width, 6 + (vec_id * 7) % 90 AS height, [vec_id % 256, (vec_id * 3) % 256, (vec_id * 11) % 256] AS rgb FROM ph),
+ph AS (SELECT vec_id, label, list_reduce(list_prepend(0::UBIGINT, list_transform(c, lambda x: CASE WHEN x > m THEN 1::UBIGINT ELSE 0::UBIGINT END)), lambda a, b: (a << 1) | b) AS whole FROM med),
+img AS (SELECT vec_id, vec_id // 50 AS batch, label AS doc_id, vec_id AS image_id, whole, whole & 18442240474082181120::UBIGINT AS h, sha256(printf('%016x', whole)) AS sha256, 6 + vec_id % 100 AS width, 6 + (vec_id * 7) % 90 AS height, [vec_id % 256, (vec_id * 3) % 256, (vec_id * 11) % 256] AS rgb FROM ph),
 ok AS (SELECT * FROM img WHERE width >= 8 AND height >= 8)"""
 PAIRS = IMAGES + """,
 pp AS (SELECT a.batch, a.doc_id AS left_doc_id, b.doc_id AS right_doc_id, a.image_id AS left_image_id, b.image_id AS right_image_id, a.sha256 = b.sha256 AS same, bit_count(xor(a.h, b.h)::BIT) AS dist,
@@ -246,13 +246,16 @@ mt AS (SELECT batch, left_doc_id, right_doc_id, left_image_id, right_image_id, C
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "embeddings")
     v = F.col("vec_id")
-    rows = rows.withColumn("phash", im.hash_bits(F.transform("embedding", lambda x: x.cast("double"))))
-    return rows.select(F.floor(v / 50).cast("long").alias("batch"), F.col("label").alias("doc_id"), v.alias("image_id"), F.concat(F.lit("d"), F.col("label")).alias("sha_doc"), F.sha2(im.hash_hex(F.col("phash")), 256).alias("sha256"), "phash", (6 + v % 100).alias("width"), (6 + (v * 7) % 90).alias("height"), F.array((v % 256), (v * 3) % 256, (v * 11) % 256).alias("mean_rgb"))
+    rows = rows.withColumn("whole", im.hash_bits(F.transform("embedding", lambda x: x.cast("double"))))
+    # the vectors are random: as hashes to compare, their first 12 bits
+    rows = rows.withColumn("phash", F.col("whole").bitwiseAND(F.lit(-(1 << 52))))
+    return rows.select(F.floor(v / 50).cast("long").alias("batch"), F.col("label").alias("doc_id"), v.alias("image_id"), F.concat(F.lit("d"), F.col("label")).alias("sha_doc"), F.sha2(im.hash_hex(F.col("whole")), 256).alias("sha256"), "phash", (6 + v % 100).alias("width"), (6 + (v * 7) % 90).alias("height"), F.array((v % 256), (v * 3) % 256, (v * 11) % 256).alias("mean_rgb"))
 
 
-@query(f"WITH {IMAGES} SELECT vec_id, printf('%016x', h) AS phash FROM img")
+@query(f"WITH {IMAGES} SELECT vec_id, printf('%016x', whole) AS phash FROM img")
 def phash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _images(spark, sf_dir).select(F.col("image_id").alias("vec_id"), im.hash_hex(F.col("phash")).alias("phash"))
+    bits = im.hash_bits(F.transform("embedding", lambda x: x.cast("double")))
+    return tables.table(spark, sf_dir, "embeddings").select("vec_id", im.hash_hex(bits).alias("phash"))
 
 
 @query(f"WITH {PAIRS} SELECT * FROM mt")
