@@ -46,6 +46,8 @@ _ATTRIBUTE = re.compile(r"([\w-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 _NAME_PART = re.compile(r"[a-z]+")
 #: How far an element's own features may move a word's score, and what a word scores without any.
 BOUND, WORD = 6.0, 1.0
+#: The most that one stretch of text outside of articles counts against a region.
+NODE = 1.5
 
 
 def features(name: str, attrs: str) -> tuple[str, ...]:
@@ -170,7 +172,7 @@ def main_text(page: str | None) -> str:
     for kind, value, each in walk(page, _element_score):
         if kind == "text":
             n = len(value.split())
-            gain = n * each
+            gain = max(n * each, -NODE)  # a long advert does not part an article
             parts.append((value, each))
         else:
             gain = cost.get(value, -0.2)

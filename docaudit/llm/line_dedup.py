@@ -3,9 +3,9 @@
 Lines are compared in lower case, trimmed, by their shingles: the SHINGLE characters from each place on.
 1. Minima of BANDS x ROWS hashes, aggregated as the shingles stream by (of the shingles whose hash has two low bits of 0,
    and the first one); ROWS of them are a bucket's key.
-2. In each bucket lines are compared with its smallest line; those that are not near to it are compared with each other, in
-   pairs if PAIRED or fewer are left, else in another round, in parts that agree in a further minimum.
-3. A pair counts as near if the exact Jaccard similarity of its shingle sets is LEAST or more.
+2. In each bucket lines are paired with its smallest line; those that agree with it in fewer than SETTLED minima are paired
+   with each other too, if PAIRED or fewer are left, else in another round, in parts that agree in a further minimum.
+3. A pair that agrees in AGREE minima counts as near if the exact Jaccard similarity of its shingle sets is LEAST or more.
 4. Union-find over the pairs; of each component the first line (by doc_id, then by place) stays.
 
 Defined results: null text has no lines; lines of fewer than LEAST_CHARS characters always stay; rows that share a doc_id
@@ -23,8 +23,12 @@ from .common import forget, written
 SHINGLE, BANDS, ROWS, LEAST, LEAST_CHARS = 12, 8, 4, 0.75, 16
 #: Lines left of a bucket up to which all their pairs are compared.
 PAIRED = 32
-#: Minima that divide a larger bucket (near lines agree in one of them with a probability of 0.999), and keys that may be broadcast.
-FURTHER, FEW = 5, 20_000
+#: Minima that divide a larger bucket (near lines agree in one of them with a probability of 0.999), how often one is divided
+#: (the lines of what is large even then are paired with its leaders alone), and keys that may be broadcast.
+FURTHER, LEVELS, FEW = 5, 2, 200_000
+#: Minima of BANDS x ROWS (32) in which a pair must agree before its lines are compared: near pairs agree in 24 on average.
+#: From SETTLED on a line counts as settled in its bucket; the others are compared with more of its lines.
+AGREE, SETTLED = 14, 20
 #: Stands for a null doc_id in the order of documents.
 _NO_ID = -(1 << 63)
 
@@ -61,52 +65,65 @@ def _signatures(found: DataFrame) -> DataFrame:
     return grouped.select("key", F.col("least_doc_id").alias("first_id"), again.alias("again"), F.array(*[f"m{k}" for k in range(BANDS * ROWS)]).alias("minima"))
 
 
-def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs(a, b) whose lines' shingle sets have the similarity."""
-    def of(side: str) -> DataFrame:
-        return texts.select(F.col("key").alias(side), F.col("line").alias(f"line_{side}"))
-
-    units = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", *[F.encode(f"line_{s}", "UTF-16BE").alias(f"units_{s}") for s in "ab"])
-    sets = units.select("a", "b", _shingles("units_a").alias("set_a"), _shingles("units_b").alias("set_b"))
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(a, b) whose lines' shingle sets, sets(key, shingles), have the similarity."""
+    a, b = (sets.select(F.col("key").alias(s), F.col("shingles").alias(f"set_{s}")) for s in "ab")
+    sized = pairs.join(a, "a").join(b, "b").where(F.least(F.size("set_a"), F.size("set_b")) >= LEAST * F.greatest(F.size("set_a"), F.size("set_b")))
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return sets.where(shared >= LEAST * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+    return sized.where(shared >= LEAST * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
 def _leaders(members: DataFrame) -> DataFrame:
     return members.groupBy("band").agg(F.min("key").alias("leader"), F.count("*").alias("n")).where("n > 1")
 
 
-def _minima_of(left: DataFrame, signatures: DataFrame) -> DataFrame:
-    """left with the minima of its keys; broadcast if they are few, which is checked."""
-    keys = left.select("key").distinct()
-    return left.join(signatures.select("key", "minima").join(F.broadcast(keys) if keys.count() <= FEW else keys, "key", "left_semi"), "key")
+def _of(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows whose key is among keys; these are broadcast if they are few, which is checked, else both are shuffled."""
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, "key", "left_semi")
+
+
+def _agreeing(pairs: DataFrame, minima: DataFrame) -> DataFrame:
+    """pairs(a, b) and the number of minima in which they agree, if it is enough: a near pair does but for one in ten thousand."""
+    a, b = (minima.select(F.col("key").alias(s), F.col("minima").alias(f"m_{s}")) for s in "ab")
+    same = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return pairs.join(a, "a").join(b, "b").select("a", "b", same.alias("same")).where(F.col("same") >= AGREE)
 
 
 def near_links(found: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Links between keys of near lines; every member of a bucket is linked with a near leader or compared further."""
+    """Links between keys of near lines; every member of a bucket agrees with its leader or is compared further."""
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col("minima")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
     buckets = signatures.select(F.explode(bands).alias("band"), "key")
-    members = written(buckets.join(_leaders(buckets).select("band", "leader"), "band"), "line-buckets")
-    texts = written(found.select("key", "line").join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("line").alias("line")), "line-texts")
-    links, level = None, 0
+    several = written(buckets.groupBy("band").agg(F.min("key").alias("leader"), F.max("key").alias("largest"), F.count("*").alias("n")).where("n > 1"), "line-leaders")
+    # a bucket of two is known by its ends; the others' members come by a join, without a shuffle if the buckets are few
+    larger = several.where("n > 2").select("band", "leader")
+    two = several.where("n = 2").select("band", F.explode(F.array("leader", "largest")).alias("key"), "leader")
+    members = written(buckets.join(F.broadcast(larger) if larger.count() <= FEW else larger, "band").select("band", "key", "leader").unionByName(two), "line-buckets")
+    minima = written(_of(signatures.select("key", "minima"), members.select("key").distinct()), "line-minima")
+    pairs, level = None, 0
     while True:
-        pairs = members.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
-        near = written(_near(pairs, texts), "line-links")
-        links = near if links is None else links.unionByName(near)
-        left = written(members.where("key <> leader").join(near, (F.col("key") == F.col("a")) & (F.col("leader") == F.col("b")), "left_anti").select("band", "key"), "line-left")
+        led = written(_agreeing(members.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), minima), "line-pairs")
+        settled = led.where(F.col("same") >= SETTLED).select(F.col("a").alias("key"), F.col("b").alias("leader"))
+        left = written(members.where("key <> leader").join(settled, ["key", "leader"], "left_anti").select("band", "key"), "line-left")
         sizes = _leaders(left)
         # what is left of a bucket is compared in pairs once it is small; a larger one is divided by further minima
         few = left.join(sizes.where(F.col("n") <= PAIRED).select("band"), "band")
-        each = few.select("band", F.col("key").alias("a")).join(few.select("band", F.col("key").alias("b")), "band").where("a > b").select("a", "b").distinct()
-        links = links.unionByName(written(_near(each, texts), "line-links"))
+        each = written(_agreeing(few.select("band", F.col("key").alias("a")).join(few.select("band", F.col("key").alias("b")), "band").where("a > b").select("a", "b").distinct(), minima), "line-pairs")
+        both = led.select("a", "b").unionByName(each.select("a", "b"))
+        pairs = both if pairs is None else pairs.unionByName(both)
         many = left.join(sizes.where(F.col("n") > PAIRED).select("band"), "band")
-        if many.isEmpty():
-            return links
-        if level < BANDS * ROWS // FURTHER:
-            further = [F.xxhash64("band", F.lit(k), F.col("minima")[k]) for k in range(level * FURTHER, (level + 1) * FURTHER)]
-            many = written(_minima_of(many, signatures).select(F.explode(F.array(*further)).alias("band"), "key"), "line-parts")
+        if level == LEVELS or many.isEmpty():
+            break
+        further = [F.xxhash64("band", F.lit(k), F.col("minima")[k]) for k in range(level * FURTHER, (level + 1) * FURTHER)]
+        many = written(many.join(minima, "key").select(F.explode(F.array(*further)).alias("band"), "key"), "line-parts")
         members = written(many.join(_leaders(many).select("band", "leader"), "band"), "line-buckets")
         level += 1
+    pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "line-pairs")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "line-keys")
+    units = _of(found.select("key", "line"), wanted).groupBy("key").agg(F.encode(F.first("line"), "UTF-16BE").alias("units"))
+    sets = written(units.repartition("key").select("key", _shingles("units").alias("shingles")), "line-sets")
+    links = written(_near(pairs, sets), "line-links")
+    forget(sets)
+    return links
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
