@@ -45,3 +45,9 @@ def stable_id(prefix: str, *parts: Column, digits: int = 24) -> Column:
 def occurrences(text: Column, phrase: str) -> Column:
     """Non-overlapping occurrences of a phrase."""
     return ((F.length(text) - F.length(F.replace(text, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
+
+
+def rounded(x: Column | str, places: int) -> Column:
+    """Half to even at a number of places, on the scaled binary value; SQL's round_even() does the same."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.rint(x * 10.0**places) / 10.0**places

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import folded
+from ..functions.text import folded, rounded
 
 #: Fixed value: a date of this century, by year, month and day.
 DATE = r"(?<!\d)(20\d{2})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})\s*日?"
@@ -65,7 +65,7 @@ def _presence(kind: str, required: str) -> list[Column]:
     flawed = F.filter(c, lambda x: F.size(x["quality_flags"]) > 0)
     best, page = F.get(c, F.lit(0)), F.col("first_page")
     unseen = (F.size(c) == 0) & F.col("has_pages") & F.col("some_unseen")
-    main = F.when(unseen, _finding(f"{kind}_evidence_unavailable", "medium", page, 0.6)).when((F.size(c) > 0) & ~sure, _finding(f"{kind}_low_confidence", "medium", best["page_number"], F.bround(1 - best["confidence"], 4))).when(F.size(c) == 0, _finding(f"missing_{kind}", "high", page, 0.9)).otherwise(_none())
+    main = F.when(unseen, _finding(f"{kind}_evidence_unavailable", "medium", page, 0.6)).when((F.size(c) > 0) & ~sure, _finding(f"{kind}_low_confidence", "medium", best["page_number"], rounded(1 - best["confidence"], 4))).when(F.size(c) == 0, _finding(f"missing_{kind}", "high", page, 0.9)).otherwise(_none())
     flaw = F.when(F.size(flawed) > 0, _finding(f"{kind}_quality_issue", "medium", F.get(flawed, F.lit(0))["page_number"], 0.65)).otherwise(_none())
     return [F.when(F.col(required), main).otherwise(_none()), F.when(F.col(required) & ~unseen, flaw).otherwise(_none())]
 
@@ -73,14 +73,14 @@ def _presence(kind: str, required: str) -> list[Column]:
 def _identity(kind: str, expected: str) -> Column:
     match, page = F.col(f"{kind}_match"), F.col("first_page")
     code = F.when(F.col(f"{kind}_seen"), F.lit(f"{kind}_name_mismatch")).otherwise(F.lit(f"missing_{kind}_name"))
-    return F.when(F.size(expected) == 0, _none()).when(~F.col("has_text"), _finding(f"{kind}_name_evidence_unavailable", "medium", page, 0.6)).when(match.isNull(), _finding(code, "high", page, 0.88)).when(match["confidence"] < F.col("minimum_text_confidence"), _finding(f"{kind}_name_low_confidence", "medium", page, F.bround(1 - match["confidence"], 4))).otherwise(_none())
+    return F.when(F.size(expected) == 0, _none()).when(~F.col("has_text"), _finding(f"{kind}_name_evidence_unavailable", "medium", page, 0.6)).when(match.isNull(), _finding(code, "high", page, 0.88)).when(match["confidence"] < F.col("minimum_text_confidence"), _finding(f"{kind}_name_low_confidence", "medium", page, rounded(1 - match["confidence"], 4))).otherwise(_none())
 
 
 def _dates() -> list[Column]:
     page, required = F.col("first_page"), F.col("require_date")
     sure = F.col("sure_dates")
     within = F.col("dates_within")
-    main = F.when(~F.col("has_date_text"), _finding("date_evidence_unavailable", "medium", page, 0.6)).when((F.size(sure) == 0) & F.col("best_date").isNotNull(), _finding("date_low_confidence", "medium", page, F.bround(1 - F.col("best_date")["confidence"], 4))).when(F.size(sure) == 0, _finding("missing_date", "high", page, 0.85)).otherwise(_none())
+    main = F.when(~F.col("has_date_text"), _finding("date_evidence_unavailable", "medium", page, 0.6)).when((F.size(sure) == 0) & F.col("best_date").isNotNull(), _finding("date_low_confidence", "medium", page, rounded(1 - F.col("best_date")["confidence"], 4))).when(F.size(sure) == 0, _finding("missing_date", "high", page, 0.85)).otherwise(_none())
     known = required & F.col("has_date_text") & (F.size(sure) > 0)
     return [F.when(required, main).otherwise(_none()), F.when(known & (F.size(sure) > 1), _finding("conflicting_dates", "medium", page, 0.65)).otherwise(_none()), F.when(known & (F.size(within) == 0), _finding("date_out_of_range", "high", page, 0.9)).otherwise(_none())]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded
+
 
 def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -16,5 +18,5 @@ def reranked(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
     """pairs(left_id, right_id, lexical) with the semantic score in [0, 1]; the greater of both counts."""
     left, right = (embeddings.select(F.col("vec_id").alias(f"{s}_id"), F.col("embedding").alias(f"{s}_e")) for s in ("left", "right"))
     semantic = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("left_e"), F.col("right_e"))))
-    rows = pairs.join(left, "left_id").join(right, "right_id").withColumn("semantic_score", F.bround(semantic, 5))
+    rows = pairs.join(left, "left_id").join(right, "right_id").withColumn("semantic_score", rounded(semantic, 5))
     return rows.select("left_id", "right_id", "lexical", "semantic_score", F.greatest("lexical", "semantic_score").alias("raw_score"))

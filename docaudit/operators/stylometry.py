@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Style
-from ..functions.text import clamped, ngrams, occurrences, stable_id
+from ..functions.text import clamped, ngrams, occurrences, stable_id, rounded
 
 METHOD = "stylometry-heuristic-alpha-v1"
 #: Phrases that link sentences, and phrases of general praise.
@@ -52,7 +52,7 @@ def paragraph_scores(with_signals: DataFrame, s: Style = Style()) -> DataFrame:
     confidence = clamped(F.least(F.lit(1.0), F.col("chars") / 400.0) * 0.60 + F.least(F.lit(1.0), F.col("sentences") / 6.0) * 0.40)
     factor = F.when(F.col("action") == "downweight", s.downweight).otherwise(1.0)
     rows = with_signals.where(F.coalesce(F.col("action") != "exclude", F.lit(True)) & (F.col("chars") >= s.min_chars))
-    rows = rows.withColumn("score", F.bround(score * factor, 6)).withColumn("confidence", F.bround(confidence * factor, 6))
+    rows = rows.withColumn("score", rounded(score * factor, 6)).withColumn("confidence", rounded(confidence * factor, 6))
     return rows.withColumn("severity", F.when(F.col("score") >= s.high, "high").when(F.col("score") >= s.medium, "medium").otherwise("info"))
 
 
@@ -66,4 +66,4 @@ def document_scores(scored: DataFrame) -> DataFrame:
     """Per document: scores weighted by characters and confidence."""
     weight = F.greatest(F.lit(1.0), F.col("chars") * F.col("confidence"))
     grouped = scored.groupBy("doc_id").agg(F.count("*").alias("eligible_paragraphs"), F.count_if(F.col("severity") != "info").alias("suspicious_paragraphs"), (F.sum(F.col("score") * weight) / F.sum(weight)).alias("s"), (F.sum(F.col("confidence") * F.col("chars")) / F.sum("chars")).alias("c"))
-    return grouped.select("doc_id", "eligible_paragraphs", "suspicious_paragraphs", F.bround("s", 6).alias("ai_likelihood"), F.bround("c", 6).alias("confidence"))
+    return grouped.select("doc_id", "eligible_paragraphs", "suspicious_paragraphs", rounded("s", 6).alias("ai_likelihood"), rounded("c", 6).alias("confidence"))

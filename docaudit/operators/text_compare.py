@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TextCompare
-from ..functions.text import comparable, stable_id
+from ..functions.text import comparable, stable_id, rounded
 from .interference import action, category
 
 SCORES = "batch long, left_doc long, right_doc long, left_ord int, right_ord int, shared int, candidate_rank int, jaccard double, tfidf_cosine double, containment double, sequence_ratio double, raw_score double, factor double, score double"
@@ -152,7 +152,7 @@ def document_stats(found: DataFrame, prepared_paragraphs: DataFrame, pairs: Data
         out = part if out is None else out.unionByName(part)
     zero = F.lit(0).cast("long")
     out = out.select(*keys, "side", "doc_id", F.coalesce("eligible_paragraphs", zero).alias("eligible_paragraphs"), F.coalesce("eligible_chars", zero).alias("eligible_chars"), F.coalesce("n", zero).alias("repeated_paragraphs"), F.coalesce("c", zero).alias("repeated_chars"))
-    return out.withColumn("repeated_rate", F.when(F.col("eligible_chars") > 0, F.bround(F.col("repeated_chars") / F.col("eligible_chars"), 6)).otherwise(0.0))
+    return out.withColumn("repeated_rate", F.when(F.col("eligible_chars") > 0, rounded(F.col("repeated_chars") / F.col("eligible_chars"), 6)).otherwise(0.0))
 
 
 def top_sections(found: DataFrame, limit: int = 10) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import Annotation, FormatCheck, ImageCompare, Style, TextCompare
 from ..functions import image as im
-from ..functions.text import comparable, ngrams
+from ..functions.text import comparable, ngrams, rounded
 from ..operators import annotate, audit, diff, format_check, image_compare, interference, report, scoring, sections, semantic, stylometry, text_compare
 from ..sources import tables
 from . import fixtures
@@ -164,7 +164,7 @@ def recall_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     order = Window.partitionBy("left_doc", "right_doc", "left_ord").orderBy(F.desc("j"), "right_ord")
     ranked = pairs.withColumn("j", jaccard).drop("left_g", "right_g").withColumn("candidate_rank", F.row_number().over(order)).where(F.col("candidate_rank") <= TEXT.max_candidates)
-    return ranked.select("batch", "left_doc", "right_doc", "left_ord", "right_ord", F.col("shared").cast("long").alias("shared"), F.bround("j", 6).alias("jaccard"), "candidate_rank")
+    return ranked.select("batch", "left_doc", "right_doc", "left_ord", "right_ord", F.col("shared").cast("long").alias("shared"), rounded("j", 6).alias("jaccard"), "candidate_rank")
 
 
 @query(f"WITH {LEXICAL} SELECT * EXCLUDE (shared, candidate_rank) FROM sc")
@@ -369,7 +369,7 @@ def _style_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SIGNALS} SELECT doc_id, ord, sentences, chars, " + ", ".join(f"round_even({x}, 5) AS {x}" for x in stylometry.SIGNALS) + " FROM sg")
 def ai_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _signals(spark, sf_dir).select("doc_id", "ord", F.col("sentences").cast("long").alias("sentences"), F.col("chars").cast("long").alias("chars"), *[F.bround(x, 5).alias(x) for x in stylometry.SIGNALS])
+    return _signals(spark, sf_dir).select("doc_id", "ord", F.col("sentences").cast("long").alias("sentences"), F.col("chars").cast("long").alias("chars"), *[rounded(x, 5).alias(x) for x in stylometry.SIGNALS])
 
 
 @query(f"WITH {SIGNALS.replace(', 4) AS score', ', 6) AS score').replace(', 4) AS confidence', ', 6) AS confidence')} SELECT doc_id, ord, score, confidence, severity FROM ap")
@@ -396,7 +396,7 @@ def ai_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexicons themselves, on a structured paragraph and on one that is left out."""
     rows = spark.sql(fixtures.AI_PARAGRAPHS)
     s = stylometry.signals(rows)
-    return s.select("doc_id", "sentences", *[F.bround(x, 4).alias(x) for x in ("transition_density", "generic_phrase_density")])
+    return s.select("doc_id", "sentences", *[rounded(x, 4).alias(x) for x in ("transition_density", "generic_phrase_density")])
 
 
 # --- risk. The format dimension of document d is that of supplier d
@@ -432,7 +432,7 @@ def risk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = scoring.risk_sets(scoring.risk_documents(_dimensions(spark, sf_dir)), tables.documents(spark, sf_dir))
-    return sets.withColumn("average_score", F.bround("average_score", 5))
+    return sets.withColumn("average_score", rounded("average_score", 5))
 
 
 @query(f"WITH {RISK} SELECT * FROM rset")
@@ -535,7 +535,7 @@ def sig_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sig_candidates_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import compliance
 
-    rows = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.lit(1).alias("page_number"), F.col("event_id").alias("candidate_id"), F.when(F.col("event_type") == "click", "signature").otherwise("seal").alias("kind"), F.bround(F.least(F.lit(1.0), F.abs("value") / 100), 6).alias("confidence"))
+    rows = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.lit(1).alias("page_number"), F.col("event_id").alias("candidate_id"), F.when(F.col("event_type") == "click", "signature").otherwise("seal").alias("kind"), rounded(F.least(F.lit(1.0), F.abs("value") / 100), 6).alias("confidence"))
     return compliance.ranked_candidates(rows).drop("page_number")
 
 
