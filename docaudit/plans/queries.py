@@ -122,7 +122,7 @@ ddf AS (SELECT doc_id, g, count(*) AS n FROM tf GROUP BY ALL),
 np AS (SELECT batch, doc_id, count(*) AS n FROM elig GROUP BY ALL),
 pr AS (SELECT a.batch, a.doc_id AS left_doc, b.doc_id AS right_doc, a.n + b.n AS total FROM np a JOIN np b ON a.batch = b.batch AND a.doc_id < b.doc_id),
 idf AS (SELECT left_doc, right_doc, g, ln((1 + total) / (1 + sum(n))) + 1 AS w FROM (SELECT left_doc, right_doc, total, g, n FROM pr JOIN ddf ON doc_id = left_doc UNION ALL SELECT left_doc, right_doc, total, g, n FROM pr JOIN ddf ON doc_id = right_doc) GROUP BY left_doc, right_doc, total, g),
-nl AS (SELECT left_doc, right_doc, doc_id, ord, sqrt(sum((c * w) ^ 2)) AS norm FROM tf JOIN idf ON tf.g = idf.g AND (doc_id = left_doc OR doc_id = right_doc) GROUP BY ALL),
+nl AS (SELECT left_doc, right_doc, doc_id, ord, sqrt(sum((c * w) ^ 2)) AS norm FROM (SELECT left_doc, right_doc, doc_id, ord, c, w FROM tf JOIN idf ON tf.g = idf.g AND doc_id = left_doc UNION ALL SELECT left_doc, right_doc, doc_id, ord, c, w FROM tf JOIN idf ON tf.g = idf.g AND doc_id = right_doc) GROUP BY ALL),
 dots AS (SELECT i.left_doc, i.right_doc, l.ord AS left_ord, r.ord AS right_ord, sum(l.c * w * r.c * w) AS dot FROM idf i JOIN tf l ON l.doc_id = i.left_doc AND l.g = i.g JOIN tf r ON r.doc_id = i.right_doc AND r.g = i.g GROUP BY ALL),
 tri AS (SELECT doc_id, ord, count(*) AS n FROM tf WHERE length(g) = 3 GROUP BY ALL),
 t3 AS (SELECT l.doc_id AS left_doc, r.doc_id AS right_doc, l.ord AS left_ord, r.ord AS right_ord, count(*) AS s FROM tf l JOIN tf r ON l.batch = r.batch AND l.g = r.g AND l.doc_id < r.doc_id WHERE length(l.g) = 3 GROUP BY ALL),
