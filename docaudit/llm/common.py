@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,8 +48,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._docaudit_path = path  # for forget()
     # Spark deletes the shuffle files of plans that are done once the driver has collected them as garbage
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    if not re.match(r"local(\[|$)", df.sparkSession.sparkContext.master):
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
     return out
 
 
