@@ -669,8 +669,8 @@ def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FINDINGS}, ref AS (SELECT DISTINCT unnest(list_distinct(list_transform(range(1, length(n) - 8), lambda i: substr(n, i, 10)))) AS g FROM (SELECT lower(regexp_replace(text, '[^一-鿿A-Za-z0-9]+', '', 'g')) AS n FROM benchmark) WHERE length(n) >= 10),
 own AS (SELECT DISTINCT doc_id, ord, g FROM (SELECT doc_id, ord, unnest(list_transform(range(1, length(norm) - 8), lambda i: substr(norm, i, 10))) AS g FROM elig WHERE length(norm) >= 10)),
 ov AS (SELECT doc_id, ord FROM own JOIN ref USING (g) GROUP BY ALL HAVING count(*) >= 20),
-at AS (SELECT f.batch, (SELECT count(*) FROM ov WHERE doc_id = left_doc AND ord = left_ord) > 0 AND (SELECT count(*) FROM ov WHERE doc_id = right_doc AND ord = right_ord) > 0 AS known FROM ft f WHERE severity = 'high')
-SELECT batch, count(*) AS high_pairs, count(*) FILTER (known) AS attributed_pairs, round_even(count(*) FILTER (known) / count(*), 6) AS attributed_ratio FROM at GROUP BY batch""")
+attr AS (SELECT f.batch, a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL AS known FROM ft f LEFT JOIN ov a ON a.doc_id = left_doc AND a.ord = left_ord LEFT JOIN ov b ON b.doc_id = right_doc AND b.ord = right_ord WHERE severity = 'high')
+SELECT batch, count(*) AS high_pairs, count(*) FILTER (known) AS attributed_pairs, round_even(count(*) FILTER (known) / count(*), 6) AS attributed_ratio FROM attr GROUP BY batch""")
 def reference_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """High pairs both of whose paragraphs have at least 20 ten-character grams of the benchmark, the reference document."""
     found, prepared = _findings(spark, sf_dir)
