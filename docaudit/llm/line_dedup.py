@@ -3,8 +3,8 @@
 Lines are compared in lower case, trimmed, by their shingles: the SHINGLE characters from each place on.
 1. Minima of BANDS x ROWS hashes, aggregated as the shingles stream by (of the shingles whose hash has two low bits of 0,
    and the first one); ROWS of them are a bucket's key.
-2. In each bucket lines are paired with its smallest line; those that agree with it in fewer than SETTLED minima are paired
-   with each other too, if PAIRED or fewer are left, else in another round, in parts that agree in a further minimum.
+2. In each bucket lines are paired with its smallest line; those that are not near to it by the exact comparison of 3. are
+   paired with each other too, if PAIRED or fewer are left, else in another round, in parts that agree in a further minimum.
 3. A pair that agrees in AGREE minima counts as near if the exact Jaccard similarity of its shingle sets is LEAST or more.
 4. Union-find over the pairs; of each component the first line (by doc_id, then by place) stays.
 
@@ -14,6 +14,8 @@ count as one document, whose lines at one place stay or go together; a null doc_
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,7 @@ PAIRED = 32
 #: (the lines of what is large even then are paired with its leaders alone), and keys that may be broadcast.
 FURTHER, LEVELS, FEW = 5, 2, 200_000
 #: Minima of BANDS x ROWS (32) in which a pair must agree before its lines are compared: near pairs agree in 24 on average.
-#: From SETTLED on a line counts as settled in its bucket; the others are compared with more of its lines.
-AGREE, SETTLED = 17, 20
+AGREE = 17
 #: Stands for a null doc_id in the order of documents.
 _NO_ID = -(1 << 63)
 
@@ -90,8 +91,19 @@ def _agreeing(pairs: DataFrame, minima: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", same.alias("same")).where(F.col("same") >= AGREE)
 
 
+def _sets(pairs: DataFrame, units: DataFrame, made: list[DataFrame]) -> DataFrame:
+    """(key, shingles) of the lines of pairs at least; those that made lacks are added to it, so that each is made once."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    for m in made:
+        wanted = wanted.join(m.select("key"), "key", "left_anti")
+    wanted = written(wanted, "line-keys")
+    if not made or not wanted.isEmpty():
+        made.append(written(_of(units, wanted).select("key", _shingles("units").alias("shingles")), "line-sets"))
+    return reduce(DataFrame.unionByName, made)
+
+
 def near_links(found: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Links between keys of near lines; every member of a bucket agrees with its leader or is compared further."""
+    """Links between keys of near lines; every member of a bucket is near to its leader or is compared further."""
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col("minima")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
     buckets = signatures.select(F.explode(bands).alias("band"), "key")
     several = written(buckets.groupBy("band").agg(F.min("key").alias("leader"), F.max("key").alias("largest"), F.count("*").alias("n")).where("n > 1"), "line-leaders")
@@ -99,18 +111,22 @@ def near_links(found: DataFrame, signatures: DataFrame) -> DataFrame:
     larger = several.where("n > 2").select("band", "leader")
     two = several.where("n = 2").select("band", F.explode(F.array("leader", "largest")).alias("key"), "leader")
     members = written(buckets.join(F.broadcast(larger) if larger.count() <= FEW else larger, "band").select("band", "key", "leader").unionByName(two), "line-buckets")
-    minima = written(_of(signatures.select("key", "minima"), members.select("key").distinct()), "line-minima")
-    pairs, level = None, 0
+    keys = written(members.select("key").distinct(), "line-keys")
+    minima = written(_of(signatures.select("key", "minima"), keys), "line-minima")
+    units = written(_of(found.select("key", "line"), keys).groupBy("key").agg(F.encode(F.first("line"), "UTF-16BE").alias("units")), "line-units")
+    sets: list[DataFrame] = []
+    links, level = None, 0
     while True:
         led = written(_agreeing(members.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), minima), "line-pairs")
-        settled = led.where(F.col("same") >= SETTLED).select(F.col("a").alias("key"), F.col("b").alias("leader"))
+        near = written(_near(led.select("a", "b"), _sets(led, units, sets)), "line-links")
+        settled = near.select(F.col("a").alias("key"), F.col("b").alias("leader"))
         left = written(members.where("key <> leader").join(settled, ["key", "leader"], "left_anti").select("band", "key"), "line-left")
         sizes = _leaders(left)
         # what is left of a bucket is compared in pairs once it is small; a larger one is divided by further minima
         few = left.join(sizes.where(F.col("n") <= PAIRED).select("band"), "band")
         each = written(_agreeing(few.select("band", F.col("key").alias("a")).join(few.select("band", F.col("key").alias("b")), "band").where("a > b").select("a", "b").distinct(), minima), "line-pairs")
-        both = led.select("a", "b").unionByName(each.select("a", "b"))
-        pairs = both if pairs is None else pairs.unionByName(both)
+        both = near.unionByName(written(_near(each.select("a", "b"), _sets(each, units, sets)), "line-links"))
+        links = both if links is None else links.unionByName(both)
         many = left.join(sizes.where(F.col("n") > PAIRED).select("band"), "band")
         if level == LEVELS or many.isEmpty():
             break
@@ -118,12 +134,8 @@ def near_links(found: DataFrame, signatures: DataFrame) -> DataFrame:
         many = written(many.join(minima, "key").select(F.explode(F.array(*further)).alias("band"), "key"), "line-parts")
         members = written(many.join(_leaders(many).select("band", "leader"), "band"), "line-buckets")
         level += 1
-    pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "line-pairs")
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "line-keys")
-    units = _of(found.select("key", "line"), wanted).groupBy("key").agg(F.encode(F.first("line"), "UTF-16BE").alias("units"))
-    sets = written(units.repartition("key").select("key", _shingles("units").alias("shingles")), "line-sets")
-    links = written(_near(pairs, sets), "line-links")
-    forget(sets)
+    for made in [*sets, units]:
+        forget(made)
     return links
 
 

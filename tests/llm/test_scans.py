@@ -342,3 +342,31 @@ def test_line_dedup_divides_large_buckets(spark, monkeypatch):
     rows = [(i, long[i % 3][: 1900 - 3 * i] + prose(3, rng)) for i in range(60)]
     documents = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(documents).collect()} == brute_lines(rows)
+
+
+def family(rng, n, twins, size, changed, slight):
+    """Lines of one template, changed in a stretch of their own, and for some of them a twin with a slight further change."""
+    template = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size))
+    out, own = [], lambda k: "".join(rng.choice("ABCDEFGHIJ0123456789".lower()) for _ in range(k))
+    for i in range(n):
+        line = template[: size - changed] + own(changed)
+        out.append(line)
+        if i < twins:
+            out.append(line[: size - changed] + line[size - changed : size - slight] + own(slight))
+    return [(i, x) for i, x in enumerate(out)]
+
+
+def line_pairs(rows):
+    """Pairs of lines at least LEAST similar, by comparing all."""
+    k = line_dedup.SHINGLE
+    sets = [frozenset(x[i : i + k] for i in range(max(1, len(x) - k + 1))) for _, x in rows]
+    both = [(i, j, len(sets[i] & sets[j])) for i in range(len(sets)) for j in range(i)]
+    return [(i, j, s / (len(sets[i]) + len(sets[j]) - s)) for i, j, s in both if s >= line_dedup.LEAST * (len(sets[i]) + len(sets[j]) - s)]
+
+
+def test_line_dedup_settles_by_exact_comparison(spark):
+    # lines of J 0.73 to each other are not near, but each has a near twin
+    rows = family(random.Random(5), 60, 60, 400, 60, 12)
+    gone = {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = brute_lines(rows)
+    assert len(expected) == 60 and len(gone & expected) >= 57 and gone <= expected, len(gone)
