@@ -1,8 +1,7 @@
 """Fuzzy line deduplication: one line stays of each group of near-equal lines of a corpus. DataFrame operations only.
 
 Lines are compared in lower case, trimmed, by their shingles: the SHINGLE characters from each place on.
-1. Minima of BANDS x ROWS hashes, aggregated as the shingles stream by (of the shingles whose hash has two low bits of 0,
-   and the first one); ROWS of them are a bucket's key.
+1. Minima of BANDS x ROWS hashes of all shingles, aggregated as the shingles stream by; ROWS of them are a bucket's key.
 2. In each bucket lines are paired with its smallest line; those that are not near to it by the exact comparison of 3. are
    paired with each other too, if PAIRED or fewer are left, else in another round, in parts that agree in a further minimum.
 3. A pair that agrees in AGREE minima counts as near if the exact Jaccard similarity of its shingle sets is LEAST or more.
@@ -15,6 +14,7 @@ count as one document, whose lines at one place stay or go together; a null doc_
 from __future__ import annotations
 
 from functools import reduce
+from random import Random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 from .components import components
 from .common import forget, written
 
-SHINGLE, BANDS, ROWS, LEAST, LEAST_CHARS = 12, 8, 4, 0.75, 16
+SHINGLE, BANDS, ROWS, LEAST, LEAST_CHARS = 12, 8, 3, 0.75, 16
 #: Lines left of a bucket up to which all their pairs are compared.
 PAIRED = 32
 #: Minima that divide a larger bucket (near lines agree in one of them with a probability of 0.999), how often one is divided
 #: (the lines of what is large even then are paired with its leaders alone), and keys that may be broadcast.
 FURTHER, LEVELS, FEW = 5, 2, 200_000
-#: Minima of BANDS x ROWS (32) in which a pair must agree before its lines are compared: near pairs agree in 24 on average.
-AGREE = 17
+#: Minima of BANDS x ROWS (24) in which a pair must agree before its lines are compared: near pairs agree in 18 on average.
+AGREE = 11
+#: Odd factors of the hashes; multiplied modulo 2 ** 32, unlike XOR, they order the shingles independently of each other.
+_FACTORS = [Random(7 + k).randrange(1 << 30, 1 << 31) | 1 for k in range(BANDS * ROWS)]
 #: Stands for a null doc_id in the order of documents.
 _NO_ID = -(1 << 63)
 
@@ -56,13 +58,11 @@ def lines(documents: DataFrame) -> DataFrame:
 
 def _signatures(found: DataFrame) -> DataFrame:
     """key, its first document, whether it occurs again, and its minima."""
-    salts = [(0x9E3779B1 * (k + 1) & 0xFFFFFFFF) - (1 << 31) for k in range(BANDS * ROWS)]
     units = found.select("key", "doc_id", "line_no", F.encode("line", "UTF-16BE").alias("units"))
-    streamed = units.select("key", "doc_id", "line_no", "units", F.explode(_places("units")).alias("at")).select("key", "doc_id", "line_no", "at", F.hash(_shingle("units", F.col("at"))).alias("h"))
-    some = streamed.where((F.col("h").bitwiseAND(F.lit(3)) == 0) | (F.col("at") == 0))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(salts)]
+    streamed = units.select("key", "doc_id", "line_no", "units", F.explode(_places("units")).alias("at")).select("key", "doc_id", "line_no", F.hash(_shingle("units", F.col("at"))).cast("long").alias("h"))
+    minima = [F.min((F.col("h") * F.lit(x)).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{k}") for k, x in enumerate(_FACTORS)]
     ranges = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "line_no") for n, f in (("least", F.min), ("most", F.max))]
-    grouped = some.groupBy("key").agg(*ranges, *minima)
+    grouped = streamed.groupBy("key").agg(*ranges, *minima)
     again = (F.col("least_doc_id") != F.col("most_doc_id")) | (F.col("least_line_no") != F.col("most_line_no"))
     return grouped.select("key", F.col("least_doc_id").alias("first_id"), again.alias("again"), F.array(*[f"m{k}" for k in range(BANDS * ROWS)]).alias("minima"))
 
@@ -85,7 +85,7 @@ def _of(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _agreeing(pairs: DataFrame, minima: DataFrame) -> DataFrame:
-    """pairs(a, b) and the number of minima in which they agree, if it is enough: a near pair does but for two in a thousand."""
+    """pairs(a, b) and the number of minima in which they agree, if it is enough: a pair of J 0.75 does but for one in two thousand."""
     a, b = (minima.select(F.col("key").alias(s), F.col("minima").alias(f"m_{s}")) for s in "ab")
     same = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
     return pairs.join(a, "a").join(b, "b").select("a", "b", same.alias("same")).where(F.col("same") >= AGREE)

@@ -370,3 +370,14 @@ def test_line_dedup_settles_by_exact_comparison(spark):
     gone = {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     expected = brute_lines(rows)
     assert len(expected) == 60 and len(gone & expected) >= 57 and gone <= expected, len(gone)
+
+
+@pytest.mark.parametrize(("places", "changed", "least"), [(60, 8, 0.97), (100, 14, 0.97), (150, 21, 0.97)])
+def test_line_dedup_recall_near_the_threshold(spark, places, changed, least):
+    # 600 pairs of J 0.754 to 0.765 without any other near line
+    rng, rows = random.Random(places), []
+    for i in range(600):
+        rows += [(2 * i + j, x) for j, (_, x) in enumerate(family(rng, 1, 1, places + line_dedup.SHINGLE - 1, changed, changed))]
+    found = len({r.doc_id for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()})
+    print(f"recall at {places} shingles: {found / 600:.4f}")
+    assert least * 600 <= found <= 600
