@@ -3,7 +3,8 @@
 Lines are compared in lower case, trimmed, by their shingles: the SHINGLE characters from each place on.
 1. Minima of BANDS x ROWS hashes of all shingles, aggregated as the shingles stream by; ROWS of them are a bucket's key.
 2. In each bucket lines are paired with its smallest line; those that are not near to it by the exact comparison of 3. are
-   paired with each other too, if PAIRED or fewer are left, else in another round, in parts that agree in a further minimum.
+   paired with each other too. If more than PAIRED are left, LEADERS of them are compared with all others first, in rounds
+   that go on while they settle SETTLING of the bucket; all pairs of the rest are then compared, in pairs of blocks.
 3. A pair that agrees in AGREE minima counts as near if the exact Jaccard similarity of its shingle sets is LEAST or more.
 4. Union-find over the pairs; of each component the first line (by doc_id, then by place) stays.
 
@@ -23,11 +24,11 @@ from .components import components
 from .common import forget, written
 
 SHINGLE, BANDS, ROWS, LEAST, LEAST_CHARS = 12, 8, 3, 0.75, 16
-#: Lines left of a bucket up to which all their pairs are compared.
-PAIRED = 32
-#: Minima that divide a larger bucket (near lines agree in one of them with a probability of 0.999), how often one is divided
-#: (the lines of what is large even then are paired with its leaders alone), and keys that may be broadcast.
-FURTHER, LEVELS, FEW = 5, 2, 200_000
+#: Lines left of a bucket up to which all their pairs are compared at once, and keys that may be broadcast.
+PAIRED, FEW = 32, 200_000
+#: Of larger buckets: lines compared with all others in a round, the share a round must settle for another one to follow, and
+#: lines of a block when all pairs are compared.
+LEADERS, SETTLING, BLOCK = 8, 0.25, 256
 #: Minima of BANDS x ROWS (24) in which a pair must agree before its lines are compared: near pairs agree in 18 on average.
 AGREE = 11
 #: Odd factors of the hashes; multiplied modulo 2 ** 32, unlike XOR, they order the shingles independently of each other.
@@ -64,7 +65,7 @@ def _signatures(found: DataFrame) -> DataFrame:
     ranges = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "line_no") for n, f in (("least", F.min), ("most", F.max))]
     grouped = streamed.groupBy("key").agg(*ranges, *minima)
     again = (F.col("least_doc_id") != F.col("most_doc_id")) | (F.col("least_line_no") != F.col("most_line_no"))
-    return grouped.select("key", F.col("least_doc_id").alias("first_id"), again.alias("again"), F.array(*[f"m{k}" for k in range(BANDS * ROWS)]).alias("minima"))
+    return grouped.select("key", F.col("least_doc_id").alias("first_id"), again.alias("again"), F.array(*[(F.col(f"m{k}") - F.lit(1 << 31)).cast("int") for k in range(BANDS * ROWS)]).alias("minima"))
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -75,8 +76,29 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sized.where(shared >= LEAST * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
-def _leaders(members: DataFrame) -> DataFrame:
-    return members.groupBy("band").agg(F.min("key").alias("leader"), F.count("*").alias("n")).where("n > 1")
+def _leaders(many: DataFrame) -> DataFrame:
+    """(band, leader): the smallest key of each of LEADERS parts of the buckets of many(band, key)."""
+    return many.groupBy("band", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("part")).agg(F.min("key").alias("leader")).select("band", "leader")
+
+
+def _left(members: DataFrame, near: DataFrame, several: bool) -> DataFrame:
+    """(band, key) of members(band, key, leader) that neither lead their bucket nor are near to one that does."""
+    settled = near.select(F.col("a").alias("key"), F.col("b").alias("leader"), F.lit(True).alias("near"))
+    if not several:
+        return members.where("key <> leader").join(settled, ["key", "leader"], "left_anti").select("band", "key")
+    each = members.join(settled, ["key", "leader"], "left").select("band", "key", (F.col("near").isNotNull() | (F.col("key") == F.col("leader"))).alias("gone"))
+    return each.groupBy("band", "key").agg(F.max("gone").alias("gone")).where("NOT gone").select("band", "key")
+
+
+def _pairs(left: DataFrame, minima: DataFrame) -> DataFrame:
+    """All pairs (a, b) of the keys of each bucket of left(band, key, n) that agree in enough minima; a task's share is two blocks."""
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
+    dealt = left.join(minima, "key").select("band", "key", "minima", F.pmod(F.xxhash64("key"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    dealt = dealt.select("band", "key", "minima", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    a, b = (dealt.where(F.col("own") == F.col(own)).select(*[F.col(c).alias(f"{c}_{s}") for c in ("band", "low", "high", "minima")], F.col("key").alias(s)) for s, own in (("a", "low"), ("b", "high")))
+    cell = (F.col("band_a") == F.col("band_b")) & (F.col("low_a") == F.col("low_b")) & (F.col("high_a") == F.col("high_b"))
+    once = (F.col("low_a") < F.col("high_a")) | (F.col("a") > F.col("b"))
+    return a.join(b, cell & once & (_same("minima_a", "minima_b") >= AGREE)).select("a", "b").distinct()
 
 
 def _of(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -84,11 +106,14 @@ def _of(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, "key", "left_semi")
 
 
+def _same(a: str, b: str) -> Column:
+    return reduce(Column.__add__, [(F.col(a)[k] == F.col(b)[k]).cast("int") for k in range(BANDS * ROWS)])
+
+
 def _agreeing(pairs: DataFrame, minima: DataFrame) -> DataFrame:
-    """pairs(a, b) and the number of minima in which they agree, if it is enough: a pair of J 0.75 does but for one in two thousand."""
+    """pairs(a, b) that agree in enough minima: a pair of J 0.75 does but for one in two thousand."""
     a, b = (minima.select(F.col("key").alias(s), F.col("minima").alias(f"m_{s}")) for s in "ab")
-    same = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return pairs.join(a, "a").join(b, "b").select("a", "b", same.alias("same")).where(F.col("same") >= AGREE)
+    return pairs.join(a, "a").join(b, "b").where(_same("m_a", "m_b") >= AGREE).select("a", "b")
 
 
 def _sets(pairs: DataFrame, units: DataFrame, made: list[DataFrame]) -> DataFrame:
@@ -115,25 +140,26 @@ def near_links(found: DataFrame, signatures: DataFrame) -> DataFrame:
     minima = written(_of(signatures.select("key", "minima"), keys), "line-minima")
     units = written(_of(found.select("key", "line"), keys).groupBy("key").agg(F.encode(F.first("line"), "UTF-16BE").alias("units")), "line-units")
     sets: list[DataFrame] = []
-    links, level = None, 0
+    links, before = None, None
     while True:
         led = written(_agreeing(members.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), minima), "line-pairs")
-        near = written(_near(led.select("a", "b"), _sets(led, units, sets)), "line-links")
-        settled = near.select(F.col("a").alias("key"), F.col("b").alias("leader"))
-        left = written(members.where("key <> leader").join(settled, ["key", "leader"], "left_anti").select("band", "key"), "line-left")
-        sizes = _leaders(left)
-        # what is left of a bucket is compared in pairs once it is small; a larger one is divided by further minima
-        few = left.join(sizes.where(F.col("n") <= PAIRED).select("band"), "band")
-        each = written(_agreeing(few.select("band", F.col("key").alias("a")).join(few.select("band", F.col("key").alias("b")), "band").where("a > b").select("a", "b").distinct(), minima), "line-pairs")
-        both = near.unionByName(written(_near(each.select("a", "b"), _sets(each, units, sets)), "line-links"))
+        near = written(_near(led, _sets(led, units, sets)), "line-links")
+        left = written(_left(members, near, before is not None), "line-left")
+        sizes = left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        again = F.col("n") > PAIRED
+        if before is not None:
+            sizes, again = sizes.join(before, "band"), again & (F.col("n") <= (1 - SETTLING) * F.col("n_before"))
+        sizes = written(sizes.select("band", "n", again.alias("again")), "line-sizes")
+        sized = left.join(F.broadcast(sizes) if sizes.count() <= FEW else sizes, "band")
+        each = written(_pairs(sized.where("NOT again"), minima), "line-pairs")
+        both = near.unionByName(written(_near(each, _sets(each, units, sets)), "line-links"))
         links = both if links is None else links.unionByName(both)
-        many = left.join(sizes.where(F.col("n") > PAIRED).select("band"), "band")
-        if level == LEVELS or many.isEmpty():
+        before = sizes.where("again").select("band", F.col("n").alias("n_before"))
+        if before.isEmpty():
             break
-        further = [F.xxhash64("band", F.lit(k), F.col("minima")[k]) for k in range(level * FURTHER, (level + 1) * FURTHER)]
-        many = written(many.join(minima, "key").select(F.explode(F.array(*further)).alias("band"), "key"), "line-parts")
-        members = written(many.join(_leaders(many).select("band", "leader"), "band"), "line-buckets")
-        level += 1
+        many = written(sized.where("again").select("band", "key"), "line-many")
+        leaders = written(_leaders(many), "line-leaders")
+        members = written(many.join(F.broadcast(leaders) if leaders.count() <= FEW else leaders, "band"), "line-buckets")
     for made in [*sets, units]:
         forget(made)
     return links

@@ -381,3 +381,13 @@ def test_line_dedup_recall_near_the_threshold(spark, places, changed, least):
     found = len({r.doc_id for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()})
     print(f"recall at {places} shingles: {found / 600:.4f}")
     assert least * 600 <= found <= 600
+
+
+def test_line_dedup_compares_whole_large_buckets(spark, monkeypatch):
+    # twins of J 0.79 within a family of J 0.73, in buckets far above PAIRED
+    monkeypatch.setattr(line_dedup, "PAIRED", 2)
+    monkeypatch.setattr(line_dedup, "BLOCK", 16, raising=False)
+    rows = family(random.Random(6), 160, 60, 400, 60, 45)
+    gone = {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = brute_lines(rows)
+    assert len(expected) == 60 and len(gone & expected) >= 58 and gone <= expected, len(gone)
