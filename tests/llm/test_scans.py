@@ -248,6 +248,23 @@ def test_decontamination(spark):
     assert decontam.contaminated(documents, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_recall_with_many_items(spark):
+    # short leaks of 2,048 items with two of their words changed, each within a longer document
+    rng = random.Random(12)
+    items = [(i, prose(rng.randrange(9, 13), rng) + ". " + prose(5, rng) + ".") for i in range(2048)]
+    rows = []
+    for d in range(300):
+        before, after = prose(rng.randrange(40, 120), rng), prose(rng.randrange(40, 120), rng)
+        words = items[3 * d][1].split()
+        words[2], words[6] = rng.choice(WORDS), rng.choice(WORDS)
+        rows.append((d, f"{before} {' '.join(words)} {after}"))
+    documents, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(documents, benchmark).collect()}
+    found = len(got & {(d, 3 * d) for d in range(300)})
+    print(f"recall of leaks: {found / 300:.4f}")
+    assert found >= 0.98 * 300 and len(got) == found
+
+
 def test_common_subsequence():
     for _ in range(200):
         a, b = ([random.randrange(6) for _ in range(random.randrange(1, 70))] for _ in "ab")
