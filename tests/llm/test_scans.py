@@ -265,6 +265,16 @@ def test_decontamination_recall_with_many_items(spark):
     assert found >= 0.98 * 300 and len(got) == found
 
 
+def test_decontamination_takes_a_place_with_the_answer(spark):
+    # the place of the largest cover lacks the answer, another one has it
+    rng = random.Random(21)
+    question, answer = prose(40, rng).split(), prose(6, rng)
+    text = " ".join([*question, prose(800, rng), *question[14:], answer])
+    documents = spark.createDataFrame([(0, text), (1, " ".join([*question, prose(800, rng)])), *[(2 + i, prose(200, rng)) for i in range(20)]], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, " ".join(question) + ". " + answer + ".")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminated(documents, benchmark).collect()] == [(0, 7)]
+
+
 def test_common_subsequence():
     for _ in range(200):
         a, b = ([random.randrange(6) for _ in range(random.randrange(1, 70))] for _ in "ab")
