@@ -31,7 +31,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _HEX_SAMPLE = re.compile(r"[0-9a-f]{8}")
-_CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth|secret)[_-]?(?:key|token)|authorization)["']?\s{0,3}(?:=>|:=|[:=])\s{0,3}(?:bearer\s+)?["']?([^\s"'<>,;]+)""", re.I | re.A)
+#: A key word begins a word, or a part of a camel-case one (dbPassword, DBPassword).
+_CONTEXT = re.compile(r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth|secret)[_-]?(?:key|token)|authorization)["']?\s{0,3}(?:=>|:=|[:=])\s{0,3}(?:bearer\s+)?["']?([^\s"'<>,;]+)""", re.I | re.A)
 _HINTS = ("passw", "passphrase", "passcode", "pass", "pwd", "secret", "token", "credential", "api", "_key", "-key", "authorization")
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 

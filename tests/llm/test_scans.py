@@ -106,6 +106,17 @@ def test_strong_values_in_a_credentials_place_are_added():
     assert [s[0] for s in spans] == ["cost", "assign"] and most > 8
 
 
+@pytest.mark.parametrize("key", ["dbPassword", "clientSecret", "userToken", "DBPassword", "db2Pwd"])
+def test_camel_case_keys_are_scored(key):
+    text = f"{key}=hT9$kq2!Lw;"
+    spans, most = secret_scan.scan(text)
+    assert ("cost", len(key) + 1, len(text) - 1) in spans and most > 8
+
+
+def test_key_words_within_a_word_are_not_scored():
+    assert all(secret_scan.scan(f"{key}: hT9$kq2!Lw")[1] == 0.0 for key in ("bypass", "compass", "BYPASS", "mytoken"))
+
+
 # --- main text
 
 NAV = "<nav><ul><li><a href='/a'>Home page</a></li><li><a>About us</a></li></ul></nav>"
