@@ -25,13 +25,19 @@ def folded(text: Column) -> Column:
     return F.replace(F.replace(lower, F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, also where use reads it in a lambda for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ngrams(text: Column, least: int, most: int) -> Column:
-    """Character n-grams with repetition, by n and then by place."""
-    def of(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
-        return F.when(F.length(text) >= n, F.transform(places, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """Character n-grams with repetition, by n and then by place. Characters are split once: substring walks from the start."""
+    def of(chars: Column, n: int) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(chars) - n))
+        return F.when(F.size(chars) >= n, F.transform(places, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of(n) for n in range(least, most + 1)])
+    split = F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+    return F.when(text.isNotNull(), bound(split, lambda chars: F.concat(*[of(chars, n) for n in range(least, most + 1)])))
 
 
 def clamped(x: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Style
-from ..functions.text import clamped, ngrams, occurrences, stable_id, rounded
+from ..functions.text import bound, clamped, ngrams, occurrences, stable_id, rounded
 
 METHOD = "stylometry-heuristic-alpha-v1"
 #: Phrases that link sentences, and phrases of general praise.
@@ -17,31 +17,37 @@ SIGNALS = ("sentence_uniformity", "transition_density", "generic_phrase_density"
 
 def _uniformity(values: Column, scale: float) -> Column:
     """1 less the coefficient of variation in units of scale; 0 for fewer than three values or a mean of 0."""
-    n = F.size(values)
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    mean = total / n
-    deviation = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
-    return F.when((n >= 3) & (total > 0), clamped(1.0 - deviation / mean / scale)).otherwise(0.0)
+    def of(v: Column) -> Column:
+        n = F.size(v)
+        total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+        deviation = bound(total / n, lambda mean: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n) / mean)
+        return F.when((n >= 3) & (total > 0), clamped(1.0 - deviation / scale)).otherwise(0.0)
+
+    return bound(values, of)
 
 
 def signals(paragraphs: DataFrame, transitions: tuple[str, ...] = TRANSITIONS, generic: tuple[str, ...] = GENERIC) -> DataFrame:
-    """paragraphs(text) with the five signals, the number of sentences and of characters."""
+    """paragraphs(text) with the five signals, the number of sentences and of characters.
+
+    Each intermediate is a column read more than once, which the optimizer does not compute again for every reader.
+    """
     rows = paragraphs.withColumn("_t", F.regexp_replace(F.regexp_replace("text", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), r"(?U)[\s\x1c-\x1f]+", " "))
     rows = rows.withColumn("_s", F.filter(F.transform(F.split("_t", "[。！？!?；;\n]+"), lambda x: F.trim(x)), lambda x: F.length(x) > 0))
-    rows = rows.withColumn("sentences", F.size("_s")).withColumn("chars", F.length("_t"))
-    lengths = F.transform("_s", lambda x: F.length(x).cast("double"))
-    commas = F.transform("_s", lambda x: (F.length(x) - F.length(F.translate(x, "，,", ""))).cast("double"))
+    rows = rows.withColumns({"sentences": F.size("_s"), "chars": F.length("_t"), "_c": F.regexp_replace(F.lower("_t"), r"(?U)[^\w一-鿿]", "")})
+    rows = rows.withColumns({
+        "_lengths": F.transform("_s", lambda x: F.length(x).cast("double")),
+        "_commas": F.transform("_s", lambda x: (F.length(x) - F.length(F.translate(x, "，,", ""))).cast("double")),
+        "_g": F.when(F.length("_c") >= 12, ngrams(F.col("_c"), 4, 4)),
+    })
     hits = [sum((occurrences(F.col("_t"), p) for p in phrases), F.lit(0)) for phrases in (transitions, generic)]
-    compact = F.regexp_replace(F.lower("_t"), r"(?U)[^\w一-鿿]", "")
-    rows = rows.withColumn("_g", F.when(F.length(compact) >= 12, ngrams(compact, 4, 4)))
     repeated = (F.size("_g") - F.size(F.array_distinct("_g"))) / F.size("_g")
     return rows.select(
         *[c for c in paragraphs.columns], "sentences", "chars",
-        _uniformity(lengths, 0.75).alias(SIGNALS[0]),
+        _uniformity(F.col("_lengths"), 0.75).alias(SIGNALS[0]),
         clamped(hits[0] / F.greatest(F.lit(1.0), F.col("sentences") * 0.75)).alias(SIGNALS[1]),
         clamped(hits[1] / (F.greatest(F.lit(1.0), F.col("chars") / 100.0) * 2.0)).alias(SIGNALS[2]),
         F.when(F.col("_g").isNotNull(), clamped(repeated / 0.12)).otherwise(0.0).alias(SIGNALS[3]),
-        F.when(F.exists(commas, lambda x: x > 0), _uniformity(commas, 1.0)).otherwise(0.0).alias(SIGNALS[4]),
+        F.when(F.exists("_commas", lambda x: x > 0), _uniformity(F.col("_commas"), 1.0)).otherwise(0.0).alias(SIGNALS[4]),
     )
 
 

@@ -115,26 +115,24 @@ sz AS (SELECT doc_id, ord, count(*) AS n FROM bi GROUP BY ALL),
 sh AS (SELECT l.batch, l.doc_id AS left_doc, r.doc_id AS right_doc, l.ord AS left_ord, r.ord AS right_ord, count(*) AS shared FROM bi l JOIN bi r ON l.batch = r.batch AND l.g = r.g AND l.doc_id < r.doc_id GROUP BY ALL HAVING count(*) >= 2),
 jac AS (SELECT sh.*, shared / (a.n + b.n - shared) AS j FROM sh JOIN sz a ON a.doc_id = left_doc AND a.ord = left_ord JOIN sz b ON b.doc_id = right_doc AND b.ord = right_ord),
 cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY left_doc, right_doc, left_ord ORDER BY j DESC, right_ord) AS candidate_rank FROM jac) WHERE candidate_rank <= 30)"""
-LEXICAL = RECALL + """,
+# one join of the tokens of a batch gives what the pairs share: bigrams for recall, trigrams for containment, weights for the cosine
+LEXICAL = ELIGIBLE + """,
 gr AS (SELECT batch, doc_id, ord, unnest(list_concat(list_transform(range(1, length(norm)), lambda i: substr(norm, i, 2)), list_concat(list_transform(range(1, length(norm) - 1), lambda i: substr(norm, i, 3)), list_transform(range(1, length(norm) - 2), lambda i: substr(norm, i, 4))))) AS g FROM elig),
 tf AS (SELECT batch, doc_id, ord, g, count(*) AS c FROM gr GROUP BY ALL),
 ddf AS (SELECT doc_id, g, count(*) AS n FROM tf GROUP BY ALL),
 np AS (SELECT batch, doc_id, count(*) AS n FROM elig GROUP BY ALL),
-pr AS (SELECT a.batch, a.doc_id AS left_doc, b.doc_id AS right_doc, a.n + b.n AS total FROM np a JOIN np b ON a.batch = b.batch AND a.doc_id < b.doc_id),
-idf AS (SELECT left_doc, right_doc, g, ln((1 + total) / (1 + sum(n))) + 1 AS w FROM (SELECT left_doc, right_doc, total, g, n FROM pr JOIN ddf ON doc_id = left_doc UNION ALL SELECT left_doc, right_doc, total, g, n FROM pr JOIN ddf ON doc_id = right_doc) GROUP BY left_doc, right_doc, total, g),
-nl AS (SELECT left_doc, right_doc, doc_id, ord, sqrt(sum((c * w) ^ 2)) AS norm FROM (SELECT left_doc, right_doc, doc_id, ord, c, w FROM tf JOIN idf ON tf.g = idf.g AND doc_id = left_doc UNION ALL SELECT left_doc, right_doc, doc_id, ord, c, w FROM tf JOIN idf ON tf.g = idf.g AND doc_id = right_doc) GROUP BY ALL),
-dots AS (SELECT i.left_doc, i.right_doc, l.ord AS left_ord, r.ord AS right_ord, sum(l.c * w * r.c * w) AS dot FROM idf i JOIN tf l ON l.doc_id = i.left_doc AND l.g = i.g JOIN tf r ON r.doc_id = i.right_doc AND r.g = i.g GROUP BY ALL),
-tri AS (SELECT doc_id, ord, count(*) AS n FROM tf WHERE length(g) = 3 GROUP BY ALL),
-t3 AS (SELECT l.doc_id AS left_doc, r.doc_id AS right_doc, l.ord AS left_ord, r.ord AS right_ord, count(*) AS s FROM tf l JOIN tf r ON l.batch = r.batch AND l.g = r.g AND l.doc_id < r.doc_id WHERE length(l.g) = 3 GROUP BY ALL),
-lex AS (SELECT c.*, least(1.0, coalesce(dot / (a.norm * b.norm), 0)) AS cosine, coalesce(t3.s / least(x.n, y.n), 0) AS cont, least(e.weight, f.weight) AS factor
-  FROM cand c LEFT JOIN dots d USING (left_doc, right_doc, left_ord, right_ord)
-  JOIN nl a ON a.left_doc = c.left_doc AND a.right_doc = c.right_doc AND a.doc_id = c.left_doc AND a.ord = c.left_ord
-  JOIN nl b ON b.left_doc = c.left_doc AND b.right_doc = c.right_doc AND b.doc_id = c.right_doc AND b.ord = c.right_ord
-  LEFT JOIN t3 ON t3.left_doc = c.left_doc AND t3.right_doc = c.right_doc AND t3.left_ord = c.left_ord AND t3.right_ord = c.right_ord
-  JOIN tri x ON x.doc_id = c.left_doc AND x.ord = c.left_ord JOIN tri y ON y.doc_id = c.right_doc AND y.ord = c.right_ord
+tfd AS (SELECT tf.batch, tf.doc_id, ord, tf.g, length(tf.g) AS k, c, ddf.n AS df, np.n AS total FROM tf JOIN ddf ON ddf.doc_id = tf.doc_id AND ddf.g = tf.g JOIN np ON np.doc_id = tf.doc_id),
+sz AS (SELECT doc_id, ord, count(*) FILTER (k = 2) AS n, count(*) FILTER (k = 3) AS n3 FROM tfd GROUP BY ALL),
+sh AS (SELECT l.batch, l.doc_id AS left_doc, r.doc_id AS right_doc, l.ord AS left_ord, r.ord AS right_ord, count(*) FILTER (l.k = 2) AS shared, count(*) FILTER (l.k = 3) AS shared3, sum(l.c * r.c * (ln((1 + l.total + r.total) / (1 + l.df + r.df)) + 1) ^ 2) AS dot
+  FROM tfd l JOIN tfd r ON l.batch = r.batch AND l.g = r.g AND l.doc_id < r.doc_id GROUP BY ALL HAVING count(*) FILTER (l.k = 2) >= 2),
+jac AS (SELECT sh.*, shared / (a.n + b.n - shared) AS j, shared3 / least(a.n3, b.n3) AS cont FROM sh JOIN sz a ON a.doc_id = left_doc AND a.ord = left_ord JOIN sz b ON b.doc_id = right_doc AND b.ord = right_ord),
+cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY left_doc, right_doc, left_ord ORDER BY j DESC, right_ord) AS candidate_rank FROM jac) WHERE candidate_rank <= 30),
+nl AS (SELECT t.doc_id, o.doc_id AS other, t.ord, sqrt(sum((c * (ln((1 + t.total + o.n) / (1 + t.df + coalesce(d.n, 0))) + 1)) ^ 2)) AS norm FROM tfd t JOIN np o ON o.batch = t.batch AND o.doc_id <> t.doc_id LEFT JOIN ddf d ON d.doc_id = o.doc_id AND d.g = t.g GROUP BY ALL),
+lex AS (SELECT c.*, least(1.0, dot / (a.norm * b.norm)) AS cosine, least(e.weight, f.weight) AS factor
+  FROM cand c JOIN nl a ON a.doc_id = c.left_doc AND a.other = c.right_doc AND a.ord = c.left_ord JOIN nl b ON b.doc_id = c.right_doc AND b.other = c.left_doc AND b.ord = c.right_ord
   JOIN elig e ON e.doc_id = c.left_doc AND e.ord = c.left_ord JOIN elig f ON f.doc_id = c.right_doc AND f.ord = c.right_ord),
 sc AS (SELECT batch, left_doc, right_doc, left_ord, right_ord, shared, candidate_rank, round_even(j, 6) AS jaccard, round_even(cosine, 6) AS tfidf_cosine, round_even(cont, 6) AS containment, round_even(greatest(cosine, cont), 6) AS raw_score, factor, round_even(greatest(cosine, cont) * factor, 6) AS score FROM lex)"""
-FINDINGS = LEXICAL.replace("WITH ", "") + """,
+FINDINGS = LEXICAL + """,
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY left_doc, right_doc, left_ord ORDER BY score DESC, right_ord) AS match_rank FROM sc WHERE score >= 0.6) WHERE match_rank <= 3),
 ft AS (SELECT t.*, 'txt-' || substr(sha256(a.sha || '|' || a.paragraph_id || '|' || b.sha || '|' || b.paragraph_id), 1, 24) AS finding_id, CASE WHEN score >= 0.85 THEN 'high' ELSE 'medium' END AS severity,
   row_number() OVER (PARTITION BY left_doc, right_doc ORDER BY score DESC, left_ord, right_ord) AS rank, a.char_count AS left_chars, b.char_count AS right_chars, 'doc-' || substr(a.sha, 1, 24) AS left_document_id, 'doc-' || substr(b.sha, 1, 24) AS right_document_id
@@ -409,7 +407,7 @@ dims AS (SELECT d.doc_id, k.dimension, k.weight, CASE k.dimension WHEN 'text_sim
 dsum AS (SELECT *, coalesce(app, false) AS applicable, sum(CASE WHEN app THEN weight ELSE 0 END) OVER (PARTITION BY doc_id) AS total FROM dims),
 rdim AS (SELECT doc_id, dimension, applicable, CASE WHEN applicable THEN round_even(raw, 6) ELSE 0.0 END AS raw_score, weight::DOUBLE AS weight, CASE WHEN applicable THEN round_even(weight::DOUBLE / total::DOUBLE, 6) ELSE 0.0 END AS effective_weight, CASE WHEN applicable THEN round_even(raw * (weight::DOUBLE / total::DOUBLE), 6) ELSE 0.0 END AS contribution FROM dsum),
 rdoc AS (SELECT *, CASE WHEN s >= 0.85 THEN 'critical' WHEN s >= 0.65 THEN 'high' WHEN s >= 0.40 THEN 'medium' WHEN s >= 0.20 THEN 'low' ELSE 'minimal' END AS risk_level FROM (SELECT doc_id, round_even(sum(contribution), 6) AS score, round_even(sum(contribution) * 100, 2) AS score_100, round_even(sum(contribution), 9) AS s FROM rdim GROUP BY doc_id)),
-rset AS (SELECT batch, count(*) AS documents, 'score-' || substr(sha256(string_agg(sha, '|' ORDER BY sha)), 1, 24) AS score_id, round_even(max(score), 6) AS aggregate_score, round_even(max(score) * 100, 2) AS aggregate_score_100, round_even(avg(score), 5) AS average_score,
+rset AS (SELECT batch, count(*) AS documents, 'score-' || substr(sha256(string_agg(sha, '|' ORDER BY sha)), 1, 24) AS score_id, round_even(max(score), 6) AS aggregate_score, round_even(max(score) * 100, 2) AS aggregate_score_100, round_even(sum(CAST(round_even(score * 1e6, 0) AS BIGINT)) / count(*), 0) / 1e6 AS average_score,
   CASE WHEN max(score) >= 0.85 THEN 'critical' WHEN max(score) >= 0.65 THEN 'high' WHEN max(score) >= 0.40 THEN 'medium' WHEN max(score) >= 0.20 THEN 'low' ELSE 'minimal' END AS aggregate_risk_level FROM rdoc JOIN docs USING (doc_id) GROUP BY batch)"""
 
 
@@ -431,8 +429,7 @@ def risk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = scoring.risk_sets(scoring.risk_documents(_dimensions(spark, sf_dir)), tables.documents(spark, sf_dir))
-    return sets.withColumn("average_score", rounded("average_score", 5))
+    return scoring.risk_sets(scoring.risk_documents(_dimensions(spark, sf_dir)), tables.documents(spark, sf_dir))
 
 
 @query(f"WITH {RISK} SELECT * FROM rset")
