@@ -266,11 +266,15 @@ def image_pairs_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image_compare.image_pairs_banded(_images(spark, sf_dir), IMAGE)
 
 
-@query(f"""WITH {PAIRS}, d AS (SELECT DISTINCT batch, doc_id FROM img), n AS (SELECT doc_id, count(*) AS n FROM ok GROUP BY ALL),
-s AS (SELECT batch, left_doc_id, right_doc_id, count(DISTINCT left_image_id) AS lr, count(DISTINCT right_image_id) AS rr, count(*) FILTER (match_type = 'exact') AS ex, count(*) FILTER (match_type = 'high_similar') AS nr, max(similarity) AS top FROM mt GROUP BY ALL)
-SELECT a.batch, a.doc_id AS left_doc_id, b.doc_id AS right_doc_id, coalesce(x.n, 0) AS left_images, coalesce(y.n, 0) AS right_images, coalesce(lr, 0) AS left_repeated, coalesce(rr, 0) AS right_repeated, coalesce(ex, 0) AS "exact", coalesce(nr, 0) AS near, coalesce(top, 0.0) AS max_similarity,
+IMAGE_STATS = PAIRS + """,
+idoc AS (SELECT DISTINCT batch, doc_id FROM img), inum AS (SELECT batch, doc_id, count(*) AS n FROM ok GROUP BY ALL),
+irep AS (SELECT batch, left_doc_id, right_doc_id, count(DISTINCT left_image_id) AS lr, count(DISTINCT right_image_id) AS rr, count(*) FILTER (match_type = 'exact') AS ex, count(*) FILTER (match_type = 'high_similar') AS nr, max(similarity) AS top FROM mt GROUP BY ALL),
+ist AS (SELECT a.batch, a.doc_id AS left_doc_id, b.doc_id AS right_doc_id, coalesce(x.n, 0) AS left_images, coalesce(y.n, 0) AS right_images, coalesce(lr, 0) AS left_repeated, coalesce(rr, 0) AS right_repeated, coalesce(ex, 0) AS "exact", coalesce(nr, 0) AS near, coalesce(top, 0.0) AS max_similarity,
   CASE WHEN x.n > 0 THEN round_even(coalesce(lr, 0) / x.n, 6) ELSE 0.0 END AS left_rate, CASE WHEN y.n > 0 THEN round_even(coalesce(rr, 0) / y.n, 6) ELSE 0.0 END AS right_rate
-FROM d a JOIN d b ON a.batch = b.batch AND a.doc_id < b.doc_id LEFT JOIN s ON s.batch = a.batch AND s.left_doc_id = a.doc_id AND s.right_doc_id = b.doc_id LEFT JOIN n x ON x.doc_id = a.doc_id LEFT JOIN n y ON y.doc_id = b.doc_id""")
+  FROM idoc a JOIN idoc b ON a.batch = b.batch AND a.doc_id < b.doc_id LEFT JOIN irep s ON s.batch = a.batch AND s.left_doc_id = a.doc_id AND s.right_doc_id = b.doc_id LEFT JOIN inum x ON x.batch = a.batch AND x.doc_id = a.doc_id LEFT JOIN inum y ON y.batch = b.batch AND y.doc_id = b.doc_id)"""
+
+
+@query(f"WITH {IMAGE_STATS} SELECT * FROM ist")
 def image_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = _images(spark, sf_dir)
     return image_compare.image_stats(image_compare.image_pairs_banded(images, IMAGE), images, IMAGE)
@@ -397,13 +401,14 @@ def ai_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "sentences", *[rounded(x, 4).alias(x) for x in ("transition_density", "generic_phrase_density")])
 
 
-# --- risk. The format dimension of document d is that of supplier d
+# --- risk. The format dimension of document d is that of supplier d, its images are those of label d
 
-RISK = STATS + ",\n" + AI[len(PARAS) + 2 :].lstrip() + ",\n" + FORMATS + """,
-dims AS (SELECT d.doc_id, k.dimension, k.weight, CASE k.dimension WHEN 'text_similarity' THEN t.n > 0 WHEN 'ai_likelihood' THEN a.doc_id IS NOT NULL WHEN 'format_similarity' THEN f.doc_id IS NOT NULL ELSE false END AS app,
-  CASE k.dimension WHEN 'text_similarity' THEN t.rate WHEN 'ai_likelihood' THEN a.ai_likelihood WHEN 'format_similarity' THEN f.format_risk END AS raw
+RISK = STATS + ",\n" + AI[len(PARAS) + 2 :].lstrip() + ",\n" + FORMATS + ",\n" + IMAGE_STATS + """,
+idim AS (SELECT doc_id, max(n) AS n, max(rate) AS rate FROM (SELECT left_doc_id AS doc_id, left_images AS n, left_rate AS rate FROM ist UNION ALL SELECT right_doc_id, right_images, right_rate FROM ist) GROUP BY doc_id),
+dims AS (SELECT d.doc_id, k.dimension, k.weight, CASE k.dimension WHEN 'text_similarity' THEN t.n > 0 WHEN 'image_similarity' THEN i.n > 0 WHEN 'ai_likelihood' THEN a.doc_id IS NOT NULL WHEN 'format_similarity' THEN f.doc_id IS NOT NULL ELSE false END AS app,
+  CASE k.dimension WHEN 'text_similarity' THEN t.rate WHEN 'image_similarity' THEN i.rate WHEN 'ai_likelihood' THEN a.ai_likelihood WHEN 'format_similarity' THEN f.format_risk END AS raw
   FROM docs d CROSS JOIN (VALUES ('text_similarity', 0.40), ('image_similarity', 0.20), ('ai_likelihood', 0.15), ('format_similarity', 0.25)) k(dimension, weight)
-  LEFT JOIN (SELECT doc_id, max(eligible_paragraphs) AS n, max(repeated_rate) AS rate FROM stats GROUP BY ALL) t ON t.doc_id = d.doc_id LEFT JOIN ad a ON a.doc_id = d.doc_id LEFT JOIN fs f ON f.doc_id = d.doc_id),
+  LEFT JOIN (SELECT doc_id, max(eligible_paragraphs) AS n, max(repeated_rate) AS rate FROM stats GROUP BY ALL) t ON t.doc_id = d.doc_id LEFT JOIN idim i ON i.doc_id = d.doc_id LEFT JOIN ad a ON a.doc_id = d.doc_id LEFT JOIN fs f ON f.doc_id = d.doc_id),
 dsum AS (SELECT *, coalesce(app, false) AS applicable, sum(CASE WHEN app THEN weight ELSE 0 END) OVER (PARTITION BY doc_id) AS total FROM dims),
 rdim AS (SELECT doc_id, dimension, applicable, CASE WHEN applicable THEN round_even(raw, 6) ELSE 0.0 END AS raw_score, weight::DOUBLE AS weight, CASE WHEN applicable THEN round_even(weight::DOUBLE / total::DOUBLE, 6) ELSE 0.0 END AS effective_weight, CASE WHEN applicable THEN round_even(raw * (weight::DOUBLE / total::DOUBLE), 6) ELSE 0.0 END AS contribution FROM dsum),
 rdoc AS (SELECT *, CASE WHEN s >= 0.85 THEN 'critical' WHEN s >= 0.65 THEN 'high' WHEN s >= 0.40 THEN 'medium' WHEN s >= 0.20 THEN 'low' ELSE 'minimal' END AS risk_level FROM (SELECT doc_id, round_even(sum(contribution), 6) AS score, round_even(sum(contribution) * 100, 2) AS score_100, round_even(sum(contribution), 9) AS s FROM rdim GROUP BY doc_id)),
@@ -413,9 +418,13 @@ rset AS (SELECT batch, count(*) AS documents, 'score-' || substr(sha256(string_a
 
 def _dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = scoring.repeated_dimension("text_similarity", _stats(spark, sf_dir), "doc_id", "repeated_rate", "eligible_paragraphs")
+    images = _images(spark, sf_dir)
+    pairs = image_compare.image_stats(image_compare.image_pairs_banded(images, IMAGE), images, IMAGE)
+    sides = [pairs.select(*[F.col(f"{side}_{c}").alias(c) for c in ("doc_id", "rate", "images")]) for side in ("left", "right")]
+    image = scoring.repeated_dimension("image_similarity", sides[0].unionByName(sides[1]), "doc_id", "rate", "images")
     ai = stylometry.document_scores(_style_scores(spark, sf_dir)).select("doc_id", F.lit("ai_likelihood").alias("dimension"), F.lit(True).alias("applicable"), F.col("ai_likelihood").alias("raw_score"))
     fmt = _format_summary(spark, sf_dir).select("doc_id", F.lit("format_similarity").alias("dimension"), F.lit(True).alias("applicable"), F.col("format_risk").alias("raw_score"))
-    return scoring.risk_dimensions(tables.documents(spark, sf_dir), [text, ai, fmt])
+    return scoring.risk_dimensions(tables.documents(spark, sf_dir), [text, image, ai, fmt])
 
 
 @query(f"WITH {RISK} SELECT * FROM rdim")
@@ -439,20 +448,35 @@ def risk_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- findings of several analyses, reports
 
-MERGED = FINDINGS + ",\n" + AI[len(PARAS) + 2 :].lstrip() + f""",
+MERGED = FINDINGS + ",\n" + AI[len(PARAS) + 2 :].lstrip() + ",\n" + RUNS + ",\n" + PAIRS + f""",
+own AS (SELECT doc_id, batch, 'doc-' || substr(sha, 1, 24) AS document_id FROM docs),
 mf AS (SELECT batch, finding_id, 'text_similarity' AS type, severity, score, left_document_id AS document_id, right_document_id AS peer_document_id FROM ft
+  UNION ALL SELECT a.batch, finding_id, 'image_similarity', 'high', similarity, a.document_id, b.document_id FROM mt JOIN own a ON a.doc_id = left_doc_id JOIN own b ON b.doc_id = right_doc_id
+  UNION ALL SELECT batch, 'fmt-' || substr(sha256(doc_id || '|' || para_id || '|body-style-outlier'), 1, 24), 'format_issue', 'low', NULL, document_id, NULL FROM outl JOIN own USING (doc_id)
+  UNION ALL SELECT batch, 'fmt-' || substr(sha256(doc_id || '|mixed-body-style'), 1, 24), 'format_issue', 'medium', round_even(1 - dominant_ratio, 6), document_id, NULL FROM dom JOIN own USING (doc_id) WHERE dominant_ratio < 0.7
   UNION ALL SELECT doc_id // 5, 'ai-' || substr(sha256(sha || '|' || paragraph_id || '|{stylometry.METHOD}'), 1, 24), 'ai_likelihood', severity, score, 'doc-' || substr(sha, 1, 24), NULL FROM ap WHERE severity <> 'info' AND confidence >= 0.35),
 mm AS (SELECT * FROM mf QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY type DESC, batch, severity, score, document_id, peer_document_id) = 1),
 lv AS (SELECT *, list_position(['info', 'low', 'medium', 'high', 'critical'], severity) AS level FROM mm),
-rf AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY level DESC, score DESC, finding_id) AS rank FROM lv)"""
+rf AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY level DESC, coalesce(score, 0) DESC, finding_id) AS rank FROM lv)"""
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings on text, images, format and style; images of label d and runs of supplier d are those of document d."""
+    none = F.lit(None).cast("string").alias("peer_document_id")
     text = _findings(spark, sf_dir)[0].select("batch", "finding_id", F.lit("text_similarity").alias("type"), "severity", "score", F.col("left_document_id").alias("document_id"), F.col("right_document_id").alias("peer_document_id"))
+    own = tables.documents(spark, sf_dir).select("doc_id", "batch", "document_id")
+    matches = image_compare.image_pairs_banded(_images(spark, sf_dir), IMAGE).drop("batch")
+    matches = matches.join(own.withColumnRenamed("doc_id", "left_doc_id"), "left_doc_id").join(own.select(F.col("doc_id").alias("right_doc_id"), F.col("document_id").alias("peer_document_id")), "right_doc_id")
+    image = matches.select("batch", "finding_id", F.lit("image_similarity").alias("type"), F.lit("high").alias("severity"), F.col("similarity").alias("score"), "document_id", "peer_document_id")
+    signatures = _signatures(spark, sf_dir)
+    dominant = format_check.dominant_styles(signatures)
+    outliers = format_check.style_outliers(signatures, dominant, FORMAT).select("doc_id", "finding_id", "severity", F.lit(None).cast("double").alias("score"))
+    mixed = format_check.mixed_styles(dominant, FORMAT).select("doc_id", "finding_id", "severity", "score")
+    fmt = outliers.unionByName(mixed).join(own, "doc_id").select("batch", "finding_id", F.lit("format_issue").alias("type"), "severity", "score", "document_id", none)
     scored = _style_scores(spark, sf_dir)
     ai = stylometry.findings(scored, STYLE).drop("confidence").join(scored.select("doc_id", "paragraph_id", "batch", "document_id"), ["doc_id", "paragraph_id"])
-    ai = ai.select("batch", "finding_id", F.lit("ai_likelihood").alias("type"), "severity", "score", "document_id", F.lit(None).cast("string").alias("peer_document_id"))
-    return scoring.merged([text, ai])
+    ai = ai.select("batch", "finding_id", F.lit("ai_likelihood").alias("type"), "severity", "score", "document_id", none)
+    return scoring.merged([text, image, fmt, ai])
 
 
 @query(f"WITH {MERGED} SELECT batch, finding_id, type, severity, score, document_id, peer_document_id FROM mm")
@@ -481,7 +505,7 @@ def report_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.report_actions(_merged(spark, sf_dir), tables.documents(spark, sf_dir))
 
 
-@query(f"""WITH {RISK}, mf AS ({MERGED.split("mf AS (")[1]},
+@query(f"""WITH {RISK}, own AS ({MERGED.split("own AS (", 1)[1]},
 best AS (SELECT batch, doc_id FROM rdoc JOIN docs USING (doc_id) QUALIFY row_number() OVER (PARTITION BY batch ORDER BY score DESC, 'doc-' || substr(sha, 1, 24) DESC, doc_id DESC) = 1),
 tp AS (SELECT batch, list({_literal(report.DIMENSION_LABELS, "dimension", "")} ORDER BY contribution DESC, list_position(['text_similarity', 'image_similarity', 'ai_likelihood', 'format_similarity'], dimension))[1:2] AS top FROM best JOIN rdim USING (doc_id) WHERE applicable GROUP BY batch),
 ur AS (SELECT batch, count(*) FILTER (severity IN ('high', 'critical')) AS urgent, '["' || string_agg(finding_id, '","' ORDER BY finding_id) || '"]' AS ids FROM mm GROUP BY batch)
@@ -496,6 +520,61 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.report_summary(scoring.risk_sets(scores, docs), named, dimensions, _merged(spark, sf_dir))
 
 
+# --- a complete analysis: each text becomes a Word file, which is parsed and goes through every step to a report
+
+# a paragraph of a length divisible by 10 has a larger font, that of every seventh document another margin
+FILES = STATS + ",\n" + AI[len(PARAS) + 2 :].lstrip() + """,
+sig AS (SELECT doc_id, ord AS para_id, 'Serif' AS font, CASE WHEN length(text) % 10 = 0 THEN 14.0::DOUBLE ELSE 12.0::DOUBLE END AS size FROM judged WHERE heading_level IS NULL),
+dc AS (SELECT doc_id, font, size, count(*) AS n, min(para_id) AS f FROM sig GROUP BY ALL),
+dom AS (SELECT d.doc_id, d.size AS dominant_size, t.comparable, round_even(d.n / t.comparable, 6) AS dominant_ratio FROM (SELECT * FROM dc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) = 1) d JOIN (SELECT doc_id, count(*) AS comparable FROM sig GROUP BY ALL) t USING (doc_id)),
+outl AS (SELECT s.doc_id, s.para_id FROM sig s JOIN dom USING (doc_id) WHERE abs(s.size - dominant_size) > 0.5),
+mar AS (SELECT doc_id FROM docs WHERE doc_id % 7 = 0),
+fs AS (SELECT coalesce(d.doc_id, m.doc_id) AS doc_id, greatest(round_even(greatest(coalesce(o.n, 0) / comparable, CASE WHEN dominant_ratio < 0.7 THEN greatest(round_even(1 - dominant_ratio, 6), 0.55) ELSE 0 END, CASE WHEN o.n > 0 THEN 0.25 ELSE 0 END), 6), CASE WHEN m.doc_id IS NOT NULL THEN 0.25 ELSE 0 END) AS format_risk
+  FROM dom d LEFT JOIN (SELECT doc_id, count(*) AS n FROM outl GROUP BY ALL) o USING (doc_id) FULL JOIN mar m ON m.doc_id = d.doc_id),
+ist AS (SELECT 0 AS left_doc_id, 0 AS right_doc_id, 0 AS left_images, 0 AS right_images, 0.0 AS left_rate, 0.0 AS right_rate WHERE false),
+""" + RISK[RISK.index("idim AS (") :] + f""",
+own AS (SELECT doc_id, batch, 'doc-' || substr(sha, 1, 24) AS document_id FROM docs),
+mf AS (SELECT batch, 'text_similarity' AS type, severity, score FROM ft
+  UNION ALL SELECT batch, 'format_issue', 'low', NULL FROM outl JOIN own USING (doc_id) UNION ALL SELECT batch, 'format_issue', 'medium', round_even(1 - dominant_ratio, 6) FROM dom JOIN own USING (doc_id) WHERE dominant_ratio < 0.7 UNION ALL SELECT batch, 'format_issue', 'low', NULL FROM mar JOIN own USING (doc_id)
+  UNION ALL SELECT doc_id // 5, 'ai_likelihood', severity, score FROM ap WHERE severity <> 'info' AND confidence >= 0.35),
+ur AS (SELECT batch, count(*) AS findings, count(*) FILTER (severity IN ('high', 'critical')) AS urgent, count(*) FILTER (type = 'format_issue') AS format_findings FROM mf GROUP BY batch)"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word files made of the texts, as read from storage: path and content."""
+    from ..sources import docx
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                lines = [(x, docx.clean(x)) for x in text.split("\n")]
+                rows = [{"text": x, "heading_level": 1 + len(c) % 3 if 0 < len(c) < 40 else None, "font": "Serif", "size": 14 if len(c) % 10 == 0 else 12} for x, c in lines]
+                out.append((f"{doc_id}.docx", docx.build(rows, {"top": 2.54, "bottom": 2.54, "left": 3.81 if doc_id % 7 == 0 else 2.54, "right": 2.54}, {"title": str(doc_id)})))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return tables.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text").mapInPandas(run, "path string, content binary")
+
+
+@query(f"""WITH {FILES} SELECT r.batch, r.documents, aggregate_score, aggregate_risk_level, average_score, coalesce(findings, 0) AS findings, coalesce(urgent, 0) AS urgent, coalesce(format_findings, 0) AS format_findings, list_sort(list(f.risk_level)) AS levels
+FROM rset r JOIN docs d USING (batch) JOIN rdoc f USING (doc_id) LEFT JOIN ur u ON u.batch = r.batch GROUP BY ALL""")
+def complete_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the files' bytes to each batch's scores, findings and levels."""
+    from ..sources import dispatch
+    from . import analysis
+
+    parsed = dispatch.parse_files(_files(spark, sf_dir)).where("error IS NULL").drop("images", "tables")
+    doc_id = F.regexp_extract("path", "(\\d+)\\.docx$", 1).cast("long")
+    parsed = parsed.withColumn("doc_id", doc_id).withColumn("batch", F.floor(F.col("doc_id") / tables.BATCH).cast("long")).persist()
+    done = analysis.complete(parsed, TEXT, FORMAT, STYLE, sequence=False, lexicons=STAND_INS)
+    counts = done.findings.groupBy("batch").agg(F.count("*").alias("findings"), F.count_if(F.col("severity").isin("high", "critical")).alias("urgent"), F.count_if(F.col("type") == "format_issue").alias("format_findings"))
+    levels = done.documents.join(parsed.select("doc_id", "batch"), "doc_id").groupBy("batch").agg(F.sort_array(F.collect_list("risk_level")).alias("levels"))
+    zero = F.lit(0).cast("long")
+    return done.sets.join(levels, "batch").join(counts, "batch", "left").select("batch", "documents", "aggregate_score", "aggregate_risk_level", "average_score", *[F.coalesce(c, zero).alias(c) for c in ("findings", "urgent", "format_findings")], "levels")
+
+
 # --- signatures, seals, identity and dates: inline evidence of six documents
 
 

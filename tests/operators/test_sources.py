@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docaudit.plans import queries
-from docaudit.sources import docx, evidence, pdf
+from docaudit.sources import dispatch, docx, evidence, pdf
 
 DOCUMENT = """<?xml version="1.0"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><w:body>
 <w:p><w:pPr><w:pStyle w:val="H1"/></w:pPr><w:r><w:t>技术方案</w:t></w:r></w:p><w:p><w:r><w:t>  </w:t></w:r></w:p>
@@ -41,6 +41,21 @@ def test_docx(spark, tmp_path):
         docx.parse(b"not-a-docx")
 
 
+def test_files_of_any_kind(spark, tmp_path):
+    made = docx.build([{"text": "Title", "heading_level": 2}, {"text": "a <body> & more\x00", "font": "Serif", "size": 12.0}], {"left": 3.81, "right": 2.54}, {"title": "t"})
+    (tmp_path / "b.DOCX").write_bytes(made)
+    (tmp_path / "broken.docx").write_bytes(b"nothing")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4\n1 0 obj\n<< /Type /Page /Contents 2 0 R >>\nendobj\n2 0 obj\n<< /Length 30 >>\nstream\nBT (first text) Tj ET\nendstream\nendobj\n")
+    (tmp_path / "d.txt").write_bytes(b"left alone")
+    rows = {r.path.rpartition("/")[2]: r for r in dispatch.read_documents(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"b.DOCX", "broken.docx", "c.pdf"} and "not a Word document" in rows["broken.docx"].error
+    word = rows["b.DOCX"]
+    assert [(p.text, p.heading_level) for p in word.paragraphs] == [("Title", 2), ("a <body> & more", None)] and word.paragraphs[1].runs[0].size == 12.0
+    assert (word.margins.left, word.margins.right, word.metadata["title"], word.error) == (3.81, 2.54, "t", None)
+    assert rows["c.pdf"].page_count == 1 and [(p.page, p.text) for p in rows["c.pdf"].paragraphs] == [(1, "first text")]
+    assert "not supported" in dispatch.parse(b"x", "d.txt")["error"]
+
+
 def test_comments_are_written_back():
     out = docx.comment(package(), [({"p": 2}, "first\nsecond"), ({"p": None, "t": 0, "r": 1, "c": 1}, "cell")])
     files = zipfile.ZipFile(io.BytesIO(out))
