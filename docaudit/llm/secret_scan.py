@@ -5,6 +5,8 @@ brute force, found by dynamic programming over its positions, in powers of ten.
 
 Defined results: null text counts as empty; a text without spans has counts of 0, the digest of the empty string and an
 empty span list; rows with one doc_id each have a row; other columns are ignored. Offsets are code points, end exclusive.
+Spans of different kinds may overlap; of equal starts the order is assign, access, hex, cost. Texts and values are taken
+whole, however long.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,9 +35,17 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _HEX_SAMPLE = re.compile(r"[0-9a-f]{8}")
+#: Key words of a credential, and what may stand before "key" and "token"; the pattern and the hints are made of them.
+KEY_WORDS = ("password", "passwd", "passphrase", "passcode", "pass", "pwd", "secret", "token", "credentials", "credential", "authorization")
+KEY_OF = ("api", "access", "private", "auth", "secret")
 #: A key word begins a word, or a part of a camel-case one (dbPassword, DBPassword).
-_CONTEXT = re.compile(r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth|secret)[_-]?(?:key|token)|authorization)["']?\s{0,3}(?:=>|:=|[:=])\s{0,3}(?:bearer\s+)?["']?([^\s"'<>,;]+)""", re.I | re.A)
-_HINTS = ("passw", "passphrase", "passcode", "pass", "pwd", "secret", "token", "credential", "api", "_key", "-key", "authorization")
+_CONTEXT = re.compile(
+    r"(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))(?:" + "|".join(KEY_WORDS) + "|(?:" + "|".join(KEY_OF) + r")[_-]?(?:key|token))"
+    r"""["']?\s{0,3}(?:=>|:=|[:=])\s{0,3}(?:bearer\s+)?["']?([^\s"'<>,;]+)""",
+    re.I | re.A,
+)
+#: A text that the pattern matches holds one of these.
+_HINTS = tuple(w for w in (*KEY_WORDS, *(k + c + "key" for k in KEY_OF for c in ("", "_", "-"))) if not any(x in w for x in KEY_WORDS if x != w))
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Words that guessers try first, most frequent first.
@@ -45,7 +57,6 @@ COMMON_WORDS = (
     "null none true false your here enter insert replace todo placeholder xxxx the and for you with this that from have"
 ).split()
 _RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-_LONGEST = max(map(len, COMMON_WORDS))
 _LEET = str.maketrans("4@3!105$7", "aaeiioss" + "t")
 _KEYS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _NEAR = {c: {b for r2, other in enumerate(_KEYS) for j, b in enumerate(other) if abs(r2 - r) + abs(j - i) <= 1 or (r2 == r + 1 and j == i - 1) or (r2 == r - 1 and j == i + 1)} - {c} for r, row in enumerate(_KEYS) for i, c in enumerate(row)}
@@ -54,21 +65,34 @@ _YEAR = re.compile(r"(?=((?:19|20)\d\d))")
 _REPEAT = re.compile(r"(.{1,4}?)\1{2,}")
 
 
+@lru_cache(maxsize=4096)
 def _alphabet(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100)
 
 
+@lru_cache(maxsize=1)
+def _words():
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for w in COMMON_WORDS:
+        if len(w) >= 3:
+            out.add_word(w, len(w))
+    out.make_automaton()
+    return out
+
+
 def segments(value: str) -> Iterator[tuple[int, int, float, str]]:
     """(start, end, cost, kind) of the spans that are cheaper than brute force might be."""
-    low = value.lower()
+    low = value.lower() if value.isascii() else "".join(c.lower() if c.isascii() else c for c in value)
     plain = low.translate(_LEET)
-    for i in range(len(value)):
-        for j in range(i + 3, min(len(value), i + _LONGEST) + 1):
-            for text, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
-                if rank := _RANK.get(text):
-                    capitals = sum(c.isupper() for c in value[i:j])
-                    yield i, j, math.log10(rank + 1) + extra + (0.3 if capitals in (1, j - i) else math.log10(math.comb(j - i, capitals)) if capitals else 0.0), "word"
-                    break
+    for text, extra in ((low, 0.0), (plain, 0.5)) if plain != low else ((low, 0.0),):
+        for last, length in _words().iter(text):
+            i, j = last + 1 - length, last + 1
+            if extra and low[i:j] in _RANK:
+                continue
+            capitals = sum(c.isupper() for c in value[i:j])
+            yield i, j, math.log10(_RANK[text[i:j]] + 1) + extra + (0.3 if capitals in (1, j - i) else math.log10(math.comb(j - i, capitals)) if capitals else 0.0), "word"
     for m in _DATE.finditer(value):
         yield m.start(), m.start() + len(m[1]), math.log10(365 * 120) + 0.3 * bool(m[2] or m[3]), "date"
     for m in _YEAR.finditer(value):
@@ -90,14 +114,17 @@ def segments(value: str) -> Iterator[tuple[int, int, float, str]]:
 def guess_cost(value: str) -> float:
     """Powers of ten of guesses that the cheapest segmentation needs."""
     n = len(value)
-    arriving: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+    arriving: dict[int, list[tuple[int, float]]] = {}
     for start, end, cost, _ in segments(value):
-        arriving[end].append((start, cost))
-    closed, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)  # cheapest spelling of value[:i], in any way; ending in brute force
-    for i in range(1, n + 1):
-        step = _alphabet(value[i - 1])
-        brute[i] = min(brute[i - 1] + step, closed[i - 1] + step + (SEGMENT if i > 1 else 0.0))
-        closed[i] = min([brute[i], *(closed[s] + c + (SEGMENT if s else 0.0) for s, c in arriving[i])])
+        arriving.setdefault(end, []).append((start, cost))
+    closed, brute = array("d", bytes(8 * (n + 1))), math.inf  # the cheapest spelling of value[:i] in any way; that ends in brute force
+    for i, c in enumerate(value, 1):
+        step = _alphabet(c)
+        brute = min(brute + step, closed[i - 1] + step + (SEGMENT if i > 1 else 0.0))
+        best = brute
+        for s, cost in arriving.get(i, ()):
+            best = min(best, closed[s] + cost + (SEGMENT if s else 0.0))
+        closed[i] = best
     return closed[n]
 
 
