@@ -1,8 +1,9 @@
 """Token-id files: a concatenated id array with Elias-Fano encoded document boundaries.
 
-A file holds a magic number, the ids (16 bits wide if the vocabulary allows, else 32), and an index at its end: document
-ids, the boundaries as an Elias-Fano sequence, and its length. Boundary i costs about 2 + log2(ids / documents) bits; the
-select structure finds it without a table of 64-bit offsets.
+A file holds a magic number, the ids (16 bits wide if the vocabulary allows, else 32), and an index at its end: how many
+documents have no doc_id (they come first), the others' ascending doc_ids and the boundaries, both as Elias-Fano sequences,
+and its length. Boundary i costs about 2 + log2(ids / documents) bits; the select structure finds it without a table of
+64-bit offsets.
 
 Defined results: null text counts as empty (its only id is the end id); null doc_ids come first; rows with one doc_id are
 ordered by a hash of their text; an empty table gives no file and no row; other columns are ignored.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-MAGIC = b"DATOK\x001\n"
+MAGIC = b"DATOK\x002\n"
 #: One select sample for so many set bits.
 SAMPLE = 256
 #: Bytes of ids read at a time.
@@ -53,8 +55,11 @@ class EliasFano:
         high = np.zeros(((top >> low_bits) + n + 8) // 8 + 1, np.uint8)
         where = (values >> low_bits) + np.arange(n)
         np.bitwise_or.at(high, where >> 3, (1 << (where & 7)).astype(np.uint8))
-        bits = ((values[:, None] >> np.arange(low_bits)) & 1).astype(np.uint8) if low_bits else np.zeros((n, 0), np.uint8)
-        return cls(n, low_bits, np.packbits(bits.reshape(-1), bitorder="little"), high)
+        low, step = [], 1 << 16  # so many values at a time; a multiple of 8, so that pieces end on bytes
+        for at in range(0, n if low_bits else 0, step):
+            bits = ((values[at : at + step, None] >> np.arange(low_bits)) & 1).astype(np.uint8)
+            low.append(np.packbits(bits.reshape(-1), bitorder="little"))
+        return cls(n, low_bits, np.concatenate(low) if low else np.zeros(0, np.uint8), high)
 
     def tobytes(self) -> bytes:
         return struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
@@ -90,7 +95,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, end_
     memo, out = tokens.memo(vocabulary), None
     wide = max(memo.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
     end, kind = np.array([end_id], "<u4").tobytes(), np.dtype("<u4" if wide else "<u2")
-    doc_ids, known, bounds, first = [], [], [0], None
+    doc_ids, nulls, bounds, first = array("q"), 0, array("q", [0]), None
     waiting, held = [], 0
 
     def flush() -> None:
@@ -113,16 +118,42 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, end_
                 held += len(ids)
                 if held > BLOCK:
                     flush()
-            doc_ids.append(doc_id or 0)
-            known.append(doc_id is not None)
+            if doc_id is None:
+                nulls += 1
+            else:
+                doc_ids.append(doc_id)
             bounds.append(bounds[-1] + n)
     if out is None:
         return
     flush()
-    index = np.array(doc_ids, "<i8").tobytes() + np.packbits(np.array(known), bitorder="little").tobytes() + EliasFano.of(np.array(bounds)).tobytes()
-    out.write(index + struct.pack("<QQBQ", len(doc_ids), bounds[-1], kind.itemsize, len(index)) + MAGIC)
+    keys, documents = _packed(np.array(doc_ids, np.int64)), nulls + len(doc_ids)
+    index = struct.pack("<QQ", nulls, len(keys)) + keys + EliasFano.of(np.array(bounds)).tobytes()
+    out.write(index + struct.pack("<QQBQ", documents, bounds[-1], kind.itemsize, len(index)) + MAGIC)
     out.close()
-    yield pa.RecordBatch.from_pylist([{"path": out.uri, "first_id": first[0], "first_hash": first[1], "documents": len(doc_ids), "ids": bounds[-1], "bytes": out.size}], schema=_arrow(MANIFEST))
+    yield pa.RecordBatch.from_pylist([{"path": out.uri, "first_id": first[0], "first_hash": first[1], "documents": documents, "ids": bounds[-1], "bytes": out.size}], schema=_arrow(MANIFEST))
+
+
+def _packed(ids: np.ndarray) -> bytes:
+    """Ascending numbers as parts of a first one and an Elias-Fano sequence of the distances to it, each below 2**62."""
+    parts, at = [], 0
+    while at < len(ids):
+        first = int(ids[at])
+        upto = int(np.searchsorted(ids, min(first + (1 << 62), (1 << 63) - 1), "right"))
+        data = EliasFano.of(ids[at:upto] - first).tobytes()
+        parts.append(struct.pack("<qQ", first, len(data)) + data)
+        at = upto
+    return b"".join(parts)
+
+
+def _unpacked(data: bytes) -> list[tuple[int, EliasFano]]:
+    """(first number, distances to it) of each part."""
+    parts, at = [], 0
+    while at < len(data):
+        first, n = struct.unpack_from("<qQ", data, at)
+        at += struct.calcsize("<qQ")
+        parts.append((first, EliasFano.frombytes(data[at : at + n])))
+        at += n
+    return parts
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -144,10 +175,18 @@ class TokenFile:
             raise ValueError(f"{uri} is not a token file or is cut short")
         self.documents, self.ids, self.width, n = struct.unpack_from("<QQBQ", tail)
         index = self.file.read_at(n, size - self.TAIL - n)
-        at = 8 * self.documents + (self.documents + 7) // 8
-        self.doc_ids = np.frombuffer(index, "<i8", self.documents)
-        self.known = np.unpackbits(np.frombuffer(index, np.uint8, at - 8 * self.documents, 8 * self.documents), bitorder="little")[: self.documents].astype(bool)
-        self.bounds = EliasFano.frombytes(index[at:])
+        self.nulls, n = struct.unpack_from("<QQ", index)
+        at = struct.calcsize("<QQ")
+        self._ids = _unpacked(index[at : at + n])
+        self.bounds = EliasFano.frombytes(index[at + n :])
+
+    def doc_ids(self, a: int, b: int) -> pa.Array:
+        """The doc_ids of documents a to b - 1."""
+        out, at = [pa.nulls(max(0, min(b, self.nulls) - a), pa.int64())], self.nulls
+        for first, distances in self._ids:
+            out.append(pa.array(distances.range(max(0, a - at), min(distances.n, b - at)) + first))
+            at += distances.n
+        return pa.concat_arrays(out)
 
     def read(self, a: int, b: int) -> np.ndarray:
         """Ids a to b - 1 of the file."""
@@ -175,8 +214,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         piece = block[a - at : b - at]
                         crc, a = zlib.crc32(piece, crc), a + len(piece)
                     crcs[i] = crc
-                known = f.known[d : d + n]
-                yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids[d : d + n], mask=~known), pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(crcs)], schema=_arrow(ROWS))
+                yield pa.RecordBatch.from_arrays([f.doc_ids(d, d + n), pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(crcs)], schema=_arrow(ROWS))
 
 
 def write_token_files(documents: DataFrame, folder: str, vocabulary: str, end_id: int) -> list[tuple]:
