@@ -32,7 +32,7 @@ SHARD_BYTES, REMEMBERED = 256 << 20, 1 << 17
 HEADER_BYTES = 33
 
 ADDRESSES = "digest binary, shard string, offset long, length long"
-OBJECTS = "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, width long, height long, bit_depth int, color_type int, feature string"
+OBJECTS = "digest binary, shard string, media_offset long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, width long, height long, bit_depth int, color_type int, feature string"
 
 
 def padded(data: bytes) -> bytes:
@@ -134,7 +134,7 @@ def _read(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBa
                 fs, path = common.storage(r["shard"])
                 name, file = r["shard"], fs.open_input_file(path)
             width, height, depth, kind = header(bytes(file.read_at(HEADER_BYTES, r["offset"])))
-            row = {"digest": r["digest"], "media_bytes": r["length"], "width": width, "height": height, "bit_depth": depth, "color_type": kind, "payload_bytes": 3 * width * height}
+            row = {"digest": r["digest"], "shard": r["shard"].rpartition("/")[2], "media_offset": r["offset"], "media_bytes": r["length"], "width": width, "height": height, "bit_depth": depth, "color_type": kind, "payload_bytes": 3 * width * height}
             if full:
                 data = bytes(file.read_at(r["length"], r["offset"]))
                 payload = decode(data)
@@ -157,7 +157,7 @@ def read_media(addresses: DataFrame, full: bool = True) -> DataFrame:
 
 
 def media_rows(documents: DataFrame, folder: str) -> DataFrame:
-    """For each row of documents(doc_id, text): its digest, address-independent values and features, read back from the shards."""
+    """For each row of documents(doc_id, text): values and features of its payload, read back, and its address (shard, offset, length) and header."""
     text = F.coalesce("text", F.lit(""))
     size = F.octet_length(text)
     spaces = (F.greatest(F.lit(1), F.ceil(size / ROW)) * ROW - size).cast("int")
@@ -166,4 +166,4 @@ def media_rows(documents: DataFrame, folder: str) -> DataFrame:
     objects = read_media(store(documents, folder))
     # a digest of many copies is a skewed key of a join, which Spark splits; hashes travel as bytes
     joined = rows.join(objects, "digest")
-    return joined.select("doc_id", "n_bytes", "payload_bytes", *[F.lower(F.hex(c)).alias(c) if c.endswith("sha256") else F.col(c) for c in ("payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")])
+    return joined.select("doc_id", "n_bytes", "payload_bytes", *[F.lower(F.hex(c)).alias(c) if c.endswith("sha256") else F.col(c) for c in ("payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "media_offset", "width", "height", "bit_depth", "color_type")])
