@@ -80,3 +80,15 @@ def created_once(requests: DataFrame) -> DataFrame:
 def visible(tasks: DataFrame, actor_id: str) -> DataFrame:
     """A task is seen by the actor that created it alone."""
     return tasks.where(F.col("actor_id") == actor_id)
+
+
+def by_status(states: DataFrame, created: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
+    """Tasks in one of the statuses, numbered by when they were created(task_id, created_at)."""
+    order = Window.partitionBy("status").orderBy("created_at", "task_id")
+    found = states.where(F.col("status").isin(*statuses)).join(created.groupBy("task_id").agg(F.min("created_at").alias("created_at")), "task_id")
+    return found.withColumn("place", F.row_number().over(order))
+
+
+def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that occur more than once, which a table of tasks or events must not have."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Annotation, FormatCheck, ImageCompare, Style, TextCompare
 from ..functions import image as im
 from ..functions.text import comparable, ngrams, rounded
-from ..operators import annotate, audit, diff, format_check, image_compare, interference, report, scoring, sections, semantic, stylometry, text_compare
+from ..operators import annotate, audit, diff, format_check, image_compare, interference, report, requests, scoring, sections, semantic, stylometry, text_compare
 from ..sources import tables
 from . import fixtures
 
@@ -558,16 +558,27 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text").mapInPandas(run, "path string, content binary")
 
 
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import dispatch
+
+    parsed = dispatch.parse_files(_files(spark, sf_dir)).where("error IS NULL").withColumn("doc_id", F.regexp_extract("path", "(\\d+)\\.docx$", 1).cast("long"))
+    return parsed.withColumn("batch", F.floor(F.col("doc_id") / tables.BATCH).cast("long"))
+
+
+@query(f"WITH {PARAS} SELECT d.doc_id, d.doc_id || '.docx' AS filename, 'docx' AS file_type, CAST(NULL AS INTEGER) AS page_count, count(m.ord) AS paragraph_count, 0::BIGINT AS table_count, 0::BIGINT AS image_count, 0::BIGINT AS warning_count FROM docs d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id")
+def document_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import analysis
+
+    return analysis.profiles(_parsed(spark, sf_dir)).drop("size_bytes")
+
+
 @query(f"""WITH {FILES} SELECT r.batch, r.documents, aggregate_score, aggregate_risk_level, average_score, coalesce(findings, 0) AS findings, coalesce(urgent, 0) AS urgent, coalesce(format_findings, 0) AS format_findings, list_sort(list(f.risk_level)) AS levels
 FROM rset r JOIN docs d USING (batch) JOIN rdoc f USING (doc_id) LEFT JOIN ur u ON u.batch = r.batch GROUP BY ALL""")
 def complete_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the files' bytes to each batch's scores, findings and levels."""
-    from ..sources import dispatch
     from . import analysis
 
-    parsed = dispatch.parse_files(_files(spark, sf_dir)).where("error IS NULL").drop("images", "tables")
-    doc_id = F.regexp_extract("path", "(\\d+)\\.docx$", 1).cast("long")
-    parsed = parsed.withColumn("doc_id", doc_id).withColumn("batch", F.floor(F.col("doc_id") / tables.BATCH).cast("long")).persist()
+    parsed = _parsed(spark, sf_dir).drop("images", "tables").persist()
     done = analysis.complete(parsed, TEXT, FORMAT, STYLE, sequence=False, lexicons=STAND_INS)
     counts = done.findings.groupBy("batch").agg(F.count("*").alias("findings"), F.count_if(F.col("severity").isin("high", "critical")).alias("urgent"), F.count_if(F.col("type") == "format_issue").alias("format_findings"))
     levels = done.documents.join(parsed.select("doc_id", "batch"), "doc_id").groupBy("batch").agg(F.sort_array(F.collect_list("risk_level")).alias("levels"))
@@ -702,6 +713,39 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users")).select(F.col("w.start").alias("window_start"), "event_type", "events", "users")
 
 
+@query(f"WITH {MOVES}, c AS (SELECT user_id AS task_id, min(ts) AS created_at FROM events GROUP BY ALL) SELECT st.*, created_at, row_number() OVER (PARTITION BY status ORDER BY created_at, task_id) AS place FROM st JOIN c USING (task_id) WHERE status IN ('running', 'failed')")
+def tasks_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = _steps(spark, sf_dir)
+    return audit.by_status(audit.state(steps.select("task_id", "sequence", "status")), steps.select("task_id", F.col("ts").alias("created_at")), ("running", "failed"))
+
+
+@query("SELECT user_id AS task_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+def repeated_event_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users and kinds of events as keys that are not unique."""
+    return audit.repeated_keys(tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), "event_type"), ["task_id", "event_type"])
+
+
+# --- requests: a batch of texts is a request's files, a url is an uploaded name, a customer a key
+
+
+@query(f"""WITH {DOCS}, f AS (SELECT batch, doc_id, '{{"file_type":"txt","filename":"' || doc_id || '.txt","sha256":"' || sha || '","size_bytes":' || strlen(text) || '}}' AS r FROM docs)
+SELECT batch, CAST(count(*) AS INTEGER) AS n_files, sha256('{{"api_version":"{requests.VERSION}","files":[' || string_agg(r, ',' ORDER BY doc_id) || ']}}') AS request_fingerprint FROM f GROUP BY batch""")
+def request_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.documents(spark, sf_dir)
+    files = docs.select("batch", F.col("doc_id").alias("ord"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.lit("txt").alias("file_type"), F.col("file_size_bytes").alias("size_bytes"), "sha256")
+    return requests.fingerprints(files, ["batch"])
+
+
+@query(r"SELECT page_id, nullif(nullif(nullif(trim(regexp_extract(regexp_replace(coalesce(url, ''), '(/\.?)+$', ''), '[^/]*$')), ''), '.'), '..') AS filename FROM pages")
+def safe_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.table(spark, sf_dir, "pages").select("page_id", requests.safe_filename(F.col("url")).alias("filename"))
+
+
+@query("SELECT c_custkey, 'api-key:' || substr(sha256(c_name), 1, 16) AS actor_id FROM customer")
+def actor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.table(spark, sf_dir, "customer").select("c_custkey", requests.actor_id(F.col("c_name")).alias("actor_id"))
+
+
 # --- versions: texts 2k and 2k + 1 are two versions of a document
 
 
