@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; run() writes each stage's result as Parquet
 and reads it again.
+
+Defined results: a null text counts as empty; quality and leaks are decided for each text, also where rows share a doc_id or
+have none; near documents are decided by doc_id, and rows without one stay; repeated rows have one fate; empty tables give no
+rows; further columns of documents are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -15,16 +19,21 @@ from docaudit.llm import common, decontam, line_dedup, ngram_join, packing, qual
 LEAST_QUALITY = 0.3
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among ids; a null doc_id stays."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs by a key of doc_id and text, which tells rows of one doc_id apart."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs whose key is not among the doc_ids of keys."""
+    gone = keys.select(F.col("doc_id").alias("_key")).distinct()
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(gone, "_key", "left_anti").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels of docs outside fold 0, does not reject."""
     weights = quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    low = common.written(quality.score(docs, weights).where(F.col("score") < LEAST_QUALITY), "rejected")
-    return _without(docs, low)
+    return _without(docs, common.written(quality.score(_keyed(docs), weights).where(F.col("score") < LEAST_QUALITY), "rejected"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +45,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each component of near documents."""
     components = common.written(ngram_join.near_documents(docs), "components")
-    return _without(docs, components.where(F.col("doc_id") != F.col("component_id")))
+    gone = components.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    return _without(docs, common.written(decontam.contaminated(docs, common.table(spark, sf_dir, "benchmark")), "leaks"))
+    return _without(docs, common.written(decontam.contaminated(_keyed(docs), common.table(spark, sf_dir, "benchmark")), "leaks"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
