@@ -50,13 +50,18 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def states_of_table(steps: DataFrame) -> DataFrame:
     """Runs a stream over a table of steps to its end and returns each task's last state.
 
-    Input, state and output lie in the folder of spark.checkpoint.dir if the session has one.
+    Input, state and output lie in the folder of spark.checkpoint.dir; without one, a folder of this machine serves a local
+    session alone, as executors elsewhere would not see it.
     """
     import tempfile
     import uuid
 
     spark = steps.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="docaudit-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="docaudit-")
     folder = f"{base.rstrip('/')}/tasks-{uuid.uuid4().hex}"
     steps.write.parquet(f"{folder}/in")
     key = "spark.sql.streaming.stateStore.providerClass"
