@@ -1,15 +1,23 @@
 """Fuzzy line deduplication: one line stays of each group of near-equal lines of a corpus. DataFrame operations only.
 
-Lines are compared in lower case, trimmed, by their shingles: the SHINGLE characters from each place on.
-1. Minima of BANDS x ROWS hashes of all shingles, aggregated as the shingles stream by; ROWS of them are a bucket's key.
-2. In each bucket lines are paired with its smallest line; those that are not near to it by the exact comparison of 3. are
-   paired with each other too. If more than PAIRED are left, LEADERS of them are compared with all others first, in rounds
-   that go on while they settle SETTLING of the bucket; all pairs of the rest are then compared, in pairs of blocks.
-3. A pair that agrees in AGREE minima counts as near if the exact Jaccard similarity of its shingle sets is LEAST or more.
-4. Union-find over the pairs; of each component the first line (by doc_id, then by place) stays.
-
-Defined results: null text has no lines; lines of fewer than LEAST_CHARS characters always stay; rows that share a doc_id
-count as one document, whose lines at one place stay or go together; a null doc_id comes first; an empty table gives none.
+Lines are compared in lower case, without white space at their ends, by their shingles: the SHINGLE characters from each
+place on (a shorter line is its only shingle).
+1. Minima of BANDS x ROWS hashes of all shingles, aggregated as the shingles stream by, CHUNK at a time; ROWS of them are a
+   bucket's key.
+2. Each member of a bucket is compared with its leader, the line in the largest buckets of all, of equals the most frequent
+   one (of a group of copies the one with the fewest changes). Near lines are joined into components; buckets of one component
+   are done.
+3. In buckets of PAIRED members at most, pairs of different components are compared. A larger bucket is divided by what its
+   members have besides their leader: near lines share one of the first of these shingles (a prefix, as of a frequency
+   order), or so much of the leader that sizes and overlaps allow it; both are grouped and divided again if large. Only if
+   that no longer divides them, their pairs are compared in blocks.
+4. A pair that agrees in AGREE minima counts as near if the exact Jaccard similarity of its sets of shingles is LEAST per
+   cent or more. Union-find over the pairs; of each component the first line (by doc_id, document and place) stays.
+
+Defined results: null text has no lines; blank lines always stay; documents are told apart by doc_id and text, so rows that
+share a doc_id or have none are different documents if their texts differ, and repeated rows count as one, whose lines stay
+or go together; a null doc_id comes first; equal places are a tie that a hash of the document settles; an empty table gives
+none; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -20,15 +28,15 @@ from random import Random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
 from .common import forget, written
+from .components import components
 
-SHINGLE, BANDS, ROWS, LEAST, LEAST_CHARS = 12, 8, 3, 0.75, 16
-#: Lines left of a bucket up to which all their pairs are compared at once, and keys that may be broadcast.
-PAIRED, FEW = 32, 200_000
-#: Of larger buckets: lines compared with all others in a round, the share a round must settle for another one to follow, and
-#: lines of a block when all pairs are compared.
-LEADERS, SETTLING, BLOCK = 8, 0.25, 256
+SHINGLE, BANDS, ROWS, LEAST, CHUNK = 12, 8, 3, 75, 8
+#: Members of a bucket up to which all its pairs are compared, lines of a block where that is so in larger ones, and keys
+#: that may be broadcast (their number is checked).
+PAIRED, BLOCK, FEW = 32, 256, 200_000
+#: A division must take away this share of the pairs in large buckets, or they are compared in blocks.
+DIVIDED = 0.25
 #: Minima of BANDS x ROWS (24) in which a pair must agree before its lines are compared: near pairs agree in 18 on average.
 AGREE = 11
 #: Odd factors of the hashes; multiplied modulo 2 ** 32, unlike XOR, they order the shingles independently of each other.
@@ -37,73 +45,35 @@ _FACTORS = [Random(7 + k).randrange(1 << 30, 1 << 31) | 1 for k in range(BANDS *
 _NO_ID = -(1 << 63)
 
 
-def _shingle(units: str, at: Column) -> Column:
-    """The shingle at a place (from 0) of UTF-16 units; substring of bytes takes the same time at each place."""
-    return F.substring(F.col(units), 2 * at + 1, F.lit(2 * SHINGLE))
-
-
-def _places(units: str) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.octet_length(units) / 2).cast("int") - SHINGLE))
-
-
-def _shingles(units: str) -> Column:
-    """The set of a line's shingles as 32-bit hashes: of 1,000 shingles two meet once in 8,000 lines, half the bytes of 64 bits."""
-    return F.array_distinct(F.transform(_places(units), lambda at: F.hash(_shingle(units, at))))
+def _row() -> Column:
+    """Tells documents apart."""
+    return F.xxhash64("doc_id", "text")
 
 
 def lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, key) of every line that may go; line as it is compared, key its hash."""
-    split = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return split.select("doc_id", "line_no", F.lower(F.trim("line")).alias("line")).where(F.length("line") >= LEAST_CHARS).withColumn("key", F.xxhash64("line"))
+    """(row, doc_id, line_no, line, key) of every line that is not blank; line as it is compared, key its hash."""
+    split = documents.select(_row().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return split.withColumn("line", F.lower(F.btrim("line", F.lit(" \t\r\x0b\x0c")))).where(F.length("line") > 0).withColumn("key", F.xxhash64("line"))
 
 
 def _signatures(found: DataFrame) -> DataFrame:
-    """key, its first document, whether it occurs again, and its minima."""
-    units = found.select("key", "doc_id", "line_no", F.encode("line", "UTF-16BE").alias("units"))
-    streamed = units.select("key", "doc_id", "line_no", "units", F.explode(_places("units")).alias("at")).select("key", "doc_id", "line_no", F.hash(_shingle("units", F.col("at"))).cast("long").alias("h"))
-    minima = [F.min((F.col("h") * F.lit(x)).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{k}") for k, x in enumerate(_FACTORS)]
-    ranges = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "line_no") for n, f in (("least", F.min), ("most", F.max))]
-    grouped = streamed.groupBy("key").agg(*ranges, *minima)
-    again = (F.col("least_doc_id") != F.col("most_doc_id")) | (F.col("least_line_no") != F.col("most_line_no"))
-    return grouped.select("key", F.col("least_doc_id").alias("first_id"), again.alias("again"), F.array(*[(F.col(f"m{k}") - F.lit(1 << 31)).cast("int") for k in range(BANDS * ROWS)]).alias("minima"))
-
-
-def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b) whose lines' shingle sets, sets(key, shingles), have the similarity."""
-    a, b = (sets.select(F.col("key").alias(s), F.col("shingles").alias(f"set_{s}")) for s in "ab")
-    sized = pairs.join(a, "a").join(b, "b").where(F.least(F.size("set_a"), F.size("set_b")) >= LEAST * F.greatest(F.size("set_a"), F.size("set_b")))
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    return sized.where(shared >= LEAST * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
-
-
-def _leaders(many: DataFrame) -> DataFrame:
-    """(band, leader): the smallest key of each of LEADERS parts of the buckets of many(band, key)."""
-    return many.groupBy("band", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("part")).agg(F.min("key").alias("leader")).select("band", "leader")
-
-
-def _left(members: DataFrame, near: DataFrame, several: bool) -> DataFrame:
-    """(band, key) of members(band, key, leader) that neither lead their bucket nor are near to one that does."""
-    settled = near.select(F.col("a").alias("key"), F.col("b").alias("leader"), F.lit(True).alias("near"))
-    if not several:
-        return members.where("key <> leader").join(settled, ["key", "leader"], "left_anti").select("band", "key")
-    each = members.join(settled, ["key", "leader"], "left").select("band", "key", (F.col("near").isNotNull() | (F.col("key") == F.col("leader"))).alias("gone"))
-    return each.groupBy("band", "key").agg(F.max("gone").alias("gone")).where("NOT gone").select("band", "key")
-
-
-def _pairs(left: DataFrame, minima: DataFrame) -> DataFrame:
-    """All pairs (a, b) of the keys of each bucket of left(band, key, n) that agree in enough minima; a task's share is two blocks."""
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
-    dealt = left.join(minima, "key").select("band", "key", "minima", F.pmod(F.xxhash64("key"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    dealt = dealt.select("band", "key", "minima", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    a, b = (dealt.where(F.col("own") == F.col(own)).select(*[F.col(c).alias(f"{c}_{s}") for c in ("band", "low", "high", "minima")], F.col("key").alias(s)) for s, own in (("a", "low"), ("b", "high")))
-    cell = (F.col("band_a") == F.col("band_b")) & (F.col("low_a") == F.col("low_b")) & (F.col("high_a") == F.col("high_b"))
-    once = (F.col("low_a") < F.col("high_a")) | (F.col("a") > F.col("b"))
-    return a.join(b, cell & once & (_same("minima_a", "minima_b") >= AGREE)).select("a", "b").distinct()
+    """(key, minima) of each distinct line.
+
+    A shingle is a piece of UTF-16 units, as substring of bytes takes the same time at each place. A row is CHUNK shingles (the
+    last one again where the line ends), whose least hashes meet the aggregation's buffer once.
+    """
+    units = found.select("key", F.encode("line", "UTF-16BE").alias("units"))
+    units = units.withColumn("last", F.greatest(F.lit(0), F.floor(F.octet_length("units") / 2).cast("int") - SHINGLE))
+    streamed = units.select("key", "units", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(CHUNK))).alias("at"))
+    shingle = lambda j: F.substring(F.col("units"), 2 * F.least(F.col("at") + j, F.col("last")) + 1, F.lit(2 * SHINGLE))
+    hashed = streamed.select("key", *[F.hash(shingle(j)).cast("long").alias(f"h{j}") for j in range(CHUNK)])
+    minima = [F.min(F.least(*[(F.col(f"h{j}") * F.lit(x)).bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(CHUNK)])).alias(f"m{k}") for k, x in enumerate(_FACTORS)]
+    return hashed.groupBy("key").agg(*minima).select("key", F.array(*[(F.col(f"m{k}") - F.lit(1 << 31)).cast("int") for k in range(BANDS * ROWS)]).alias("minima"))
 
 
-def _of(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """rows whose key is among keys; these are broadcast if they are few, which is checked, else both are shuffled."""
-    return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, "key", "left_semi")
+def _of(rows: DataFrame, keys: DataFrame, on: str = "key") -> DataFrame:
+    """rows joined with keys; these are broadcast if they are few, which is checked, else both are shuffled."""
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, on)
 
 
 def _same(a: str, b: str) -> Column:
@@ -116,88 +86,165 @@ def _agreeing(pairs: DataFrame, minima: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(_same("m_a", "m_b") >= AGREE).select("a", "b")
 
 
-def _sets(pairs: DataFrame, units: DataFrame, made: list[DataFrame]) -> DataFrame:
-    """(key, shingles) of the lines of pairs at least; those that made lacks are added to it, so that each is made once."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    for m in made:
-        wanted = wanted.join(m.select("key"), "key", "left_anti")
-    wanted = written(wanted, "line-keys")
-    if not made or not wanted.isEmpty():
-        made.append(written(_of(units, wanted).select("key", _shingles("units").alias("shingles")), "line-sets"))
-    return reduce(DataFrame.unionByName, made)
+def _shingles(line: str) -> Column:
+    """The set of a line's shingles; a look-ahead finds one at each place. Characters beyond the basic plane count as two."""
+    each = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.array_distinct(F.when(F.length(line) >= SHINGLE, each).otherwise(F.array(line)))
+
+
+def _with_lines(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs with line_a and line_b."""
+    a, b = (texts.select(F.col("key").alias(s), F.col("line").alias(f"line_{s}")) for s in "ab")
+    # few bytes and much work: a fixed number of partitions keeps them from being joined into one task
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.join(a, "a").repartition(tasks, "b").join(b, "b")
+
+
+def _of_sets(use) -> Column:
+    """use(set of line_a, set of line_b, size of what they share), each computed once: a filter repeats what it reads otherwise."""
+    sets = F.array(F.struct(_shingles("line_a").alias("x"), _shingles("line_b").alias("y")))
+    return F.transform(sets, lambda s: F.transform(F.array(F.size(F.array_intersect(s["x"], s["y"]))), lambda k: use(s["x"], s["y"], k))[0])[0]
+
+
+def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs(a, b) whose lines have the similarity."""
+    return _with_lines(pairs, texts).where(_of_sets(lambda x, y, k: 100 * k >= LEAST * (F.size(x) + F.size(y) - k))).select("a", "b")
+
+
+def _grouped(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members(band, key, ...) with their component."""
+    joined = members.join(roots, F.col("key") == F.col("node"), "left")
+    return joined.select(*members.columns, F.coalesce("root", "key").alias("component"))
+
+
+def _reaching(members: DataFrame) -> DataFrame:
+    """Those of members(band, key, component, n, rest) that may be near to one of another component of their bucket.
+
+    A near pair overlaps in its first common shingle and what stands after it, so rest bounds the size of a partner.
+    """
+    rows = members.withColumn("reach", F.floor(F.col("rest") * (100 + LEAST) / LEAST).cast("long") - F.col("n"))
+    parts = rows.groupBy("band", "component").agg(F.count("*").alias("many"), F.min("n").alias("least"), F.max("reach").alias("most"))
+    parts = written(parts, "line-parts")
+    several = parts.groupBy("band").agg(F.count("*").alias("k"), F.max(F.struct("many", "component")).alias("top"), F.min("least").alias("least"), F.max("most").alias("most")).where("k > 1")
+    several = several.select("band", F.col("top.component").alias("largest"), "least", "most")
+    outside = parts.join(several.select("band", "largest"), "band").where("component <> largest").groupBy("band").agg(F.min("least").alias("least_out"), F.max("most").alias("most_out"))
+    bounds = written(several.join(outside, "band"), "line-bounds")
+    inside = F.col("component") == F.col("largest")
+    least, most = (F.when(inside, F.col(f"{c}_out")).otherwise(F.col(c)) for c in ("least", "most"))
+    return _of(rows, bounds, "band").where((least <= F.col("reach")) & (most >= F.col("n"))).select(*members.columns)
+
+
+def _pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components of each bucket of sizes(band, many), dealt out in pairs of blocks if it is large."""
+    blocks = F.ceil(F.col("many") / F.lit(BLOCK)).cast("long")
+    dealt = _of(members, sizes, "band").select("band", "key", "component", "n", "rest", F.pmod(F.xxhash64("key"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    a, b = (dealt.where(F.col("own") == F.col(own)).select(F.col("key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("band", "low", "high", "component", "n", "rest")]) for s, own in (("a", "low"), ("b", "high")))
+    cell = (F.col("band_a") == F.col("band_b")) & (F.col("low_a") == F.col("low_b")) & (F.col("high_a") == F.col("high_b"))
+    once = (F.col("low_a") < F.col("high_a")) | (F.col("a") > F.col("b"))
+    overlap = (100 + LEAST) * F.least("rest_a", "rest_b") >= LEAST * (F.col("n_a") + F.col("n_b"))
+    pair = a.join(b, cell & once & (F.col("component_a") != F.col("component_b")) & overlap)
+    return pair.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _divided(members: DataFrame, scores: DataFrame, texts: DataFrame) -> DataFrame:
+    """(band, key, component, n, rest) of smaller buckets that hold all near pairs of different components of members.
+
+    A bucket's leader is a member of the highest score. In an order of shingles that puts the leader's last, and before them
+    those of fewer of its followers first, two near lines share one of the first quarter; so a bucket for each such shingle
+    that is not the leader's, and one for the leader's.
+    """
+    scored = members.join(scores, "key")
+    leaders = scored.groupBy("band").agg(F.max(F.struct("score", "occurs", "key")).alias("top")).select("band", F.col("top.key").alias("leader"))
+    led = written(_of(members, written(leaders, "line-leaders"), "band").select(F.col("key").alias("a"), F.col("leader").alias("b"), "component").distinct(), "line-led")
+    others = lambda x, y: F.transform(F.array_except(x, y), lambda t: F.xxhash64(t))
+    measured = _of_sets(lambda x, y, k: F.struct(F.size(x).cast("long").alias("n"), k.cast("long").alias("shared"), others(x, y).alias("own")))
+    own = written(_with_lines(led, texts).select(F.col("a").alias("key"), F.col("b").alias("leader"), "component", measured.alias("m")).select("key", "leader", "component", "m.*"), "line-own")
+    each = own.select("leader", "key", "component", "n", F.explode("own").alias("shingle"))
+    counted = each.join(each.groupBy("leader", "shingle").agg(F.count("*").alias("followers")), ["leader", "shingle"])
+    ranked = counted.groupBy("leader", "key", "component", "n").agg(F.sort_array(F.collect_list(F.struct("followers", "shingle"))).alias("own"))
+    prefix = F.slice("own", 1, (F.col("n") - F.ceil(F.col("n") * LEAST / 100) + 1).cast("int"))
+    besides = ranked.select("leader", "key", "component", "n", F.posexplode(prefix).alias("place", "x"))
+    besides = besides.select("leader", F.xxhash64("leader", "x.shingle").alias("band"), "key", "component", "n", (F.col("n") - F.col("place")).alias("rest"))
+    core = own.where("shared > 0").select("leader", F.xxhash64("leader", F.lit("core")).alias("band"), "key", "component", "n", F.col("shared").alias("rest"))
+    rows = written(_reaching(besides.unionByName(core)), "line-divided")
+    # of a leader's buckets with the same members (copies have many in common) the first in its order stands for all
+    lists = rows.groupBy("leader", "band").agg(F.count("*").alias("many"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("members"), F.min(F.col("n") - F.col("rest")).alias("place"))
+    first = lists.groupBy("leader", "members", "many").agg(F.min(F.struct("place", "band")).alias("first")).select(F.col("first.band").alias("band"))
+    return rows.drop("leader").join(written(first, "line-firsts"), "band")
 
 
 def near_links(found: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Links between keys of near lines; every member of a bucket is near to its leader or is compared further."""
+    """Links between keys of near lines: enough of them for the components of all near pairs that share a bucket."""
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col("minima")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
     buckets = signatures.select(F.explode(bands).alias("band"), "key")
-    several = written(buckets.groupBy("band").agg(F.min("key").alias("leader"), F.max("key").alias("largest"), F.count("*").alias("n")).where("n > 1"), "line-leaders")
+    several = written(buckets.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("many")).where("many > 1"), "line-bands")
     # a bucket of two is known by its ends; the others' members come by a join, without a shuffle if the buckets are few
-    larger = several.where("n > 2").select("band", "leader")
-    two = several.where("n = 2").select("band", F.explode(F.array("leader", "largest")).alias("key"), "leader")
-    members = written(buckets.join(F.broadcast(larger) if larger.count() <= FEW else larger, "band").select("band", "key", "leader").unionByName(two), "line-buckets")
-    keys = written(members.select("key").distinct(), "line-keys")
-    minima = written(_of(signatures.select("key", "minima"), keys), "line-minima")
-    units = written(_of(found.select("key", "line"), keys).groupBy("key").agg(F.encode(F.first("line"), "UTF-16BE").alias("units")), "line-units")
-    sets: list[DataFrame] = []
-    links, before = None, None
+    larger = several.where("many > 2").select("band", "many")
+    two = several.where("many = 2").select("band", F.explode(F.array("low", "high")).alias("key"), "many")
+    members = written(_of(buckets, larger, "band").select("band", "key", "many").unionByName(two), "line-buckets")
+    keys = written(members.groupBy("key").agg(F.sum("many").alias("score")), "line-keys")
+    minima = written(_of(signatures.select("key", "minima"), keys.select("key")), "line-minima")
+    texts = written(_of(found.select("key", "line"), keys.select("key")).groupBy("key").agg(F.first("line").alias("line"), F.count("*").alias("occurs")), "line-texts")
+    scores = written(keys.join(texts.select("key", "occurs"), "key"), "line-scores")
+    tops = members.where("many > 2").join(scores, "key").groupBy("band").agg(F.max(F.struct("score", "occurs", "key")).alias("top")).select("band", F.col("top.key").alias("leader"))
+    led = members.join(tops, "band").where("key <> leader").select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b"))
+    led = led.unionByName(several.where("many = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))).distinct()
+    tested = written(_agreeing(led, minima), "line-pairs")
+    links = written(_near(tested, texts), "line-links")
+    rows = _grouped(members.where("many > 2").select("band", "key"), components(links)).withColumns({"n": F.lit(1).cast("long"), "rest": F.lit(1).cast("long")})
+    # sizes are unknown at first: all are 1, so that nothing but components is told apart
+    rows, before = _reaching(rows), None
     while True:
-        led = written(_agreeing(members.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), minima), "line-pairs")
-        near = written(_near(led, _sets(led, units, sets)), "line-links")
-        left = written(_left(members, near, before is not None), "line-left")
-        sizes = left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-        again = F.col("n") > PAIRED
-        if before is not None:
-            sizes, again = sizes.join(before, "band"), again & (F.col("n") <= (1 - SETTLING) * F.col("n_before"))
-        sizes = written(sizes.select("band", "n", again.alias("again")), "line-sizes")
-        sized = left.join(F.broadcast(sizes) if sizes.count() <= FEW else sizes, "band")
-        each = written(_pairs(sized.where("NOT again"), minima), "line-pairs")
-        both = near.unionByName(written(_near(each, _sets(each, units, sets)), "line-links"))
-        links = both if links is None else links.unionByName(both)
-        before = sizes.where("again").select("band", F.col("n").alias("n_before"))
-        if before.isEmpty():
+        rows = written(rows, "line-buckets")
+        sizes = written(rows.groupBy("band").agg(F.count("*").alias("many"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("band", "many"), "line-sizes")
+        large = sizes.where(F.col("many") > PAIRED)
+        most = large.agg(F.coalesce(F.sum(F.col("many").cast("double") ** 2), F.lit(0.0))).first()[0]
+        divides = most > 0 and (before is None or most <= (1 - DIVIDED) * before)
+        pairs = _agreeing(_pairs(rows, sizes.where(F.col("many") <= PAIRED) if divides else sizes), minima).join(tested, ["a", "b"], "left_anti")
+        links = links.unionByName(written(_near(written(pairs, "line-pairs"), texts), "line-links"))
+        if not divides:
             break
-        many = written(sized.where("again").select("band", "key"), "line-many")
-        leaders = written(_leaders(many), "line-leaders")
-        members = written(many.join(F.broadcast(leaders) if leaders.count() <= FEW else leaders, "band"), "line-buckets")
-    for made in [*sets, units]:
-        forget(made)
+        left = _grouped(_of(rows, large.select("band"), "band").select("band", "key"), components(links))
+        rows, before = _divided(left, scores, texts), most
+    forget(texts)
     return links
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of every line that goes; a null doc_id as _NO_ID."""
+    """(row, doc_id, line_no) of every line that goes; a null doc_id as _NO_ID."""
     found = lines(documents)
-    signatures = written(_signatures(found), "line-signatures")
-    roots = components(near_links(found, signatures))
-    grouped = signatures.select("key", "first_id", "again").join(roots, F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("root", "key"))
-    first = grouped.groupBy("group").agg(F.min("first_id").alias("keep_id"), F.count("*").alias("n"), F.max("again").alias("any")).where("n > 1 OR any").select("group", "keep_id")
-    # only lines of groups of several come back
-    several = written(found.select("doc_id", "line_no", "key").join(grouped.select("key", "group").join(first, "group"), "key").select("doc_id", "line_no", "group", "keep_id"), "line-groups")
-    keep = several.where("doc_id = keep_id").groupBy("group").agg(F.min("line_no").alias("keep_no"))
-    return several.join(keep, "group").where("doc_id <> keep_id OR line_no <> keep_no").select("doc_id", "line_no")
+    roots = components(near_links(found, written(_signatures(found), "line-signatures")))
+    grouped = written(found.select("row", "doc_id", "line_no", "key").join(roots, F.col("key") == F.col("node"), "left").select("row", "doc_id", "line_no", F.coalesce("root", "key").alias("group")), "line-groups")
+    first = grouped.groupBy("group").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").select("group", "keep_id")
+    several = written(grouped.join(first, "group"), "line-several")
+    forget(grouped)
+    keep = several.where("doc_id = keep_id").groupBy("group").agg(F.min(F.struct("row", "line_no")).alias("keep")).select("group", F.col("keep.row").alias("keep_row"), F.col("keep.line_no").alias("keep_no"))
+    return several.join(keep, "group").where("row <> keep_row OR line_no <> keep_no").select("row", "doc_id", "line_no")
 
 
 def _by_document(removed: DataFrame) -> DataFrame:
-    return removed.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    return removed.groupBy("row").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def removals(documents: DataFrame) -> DataFrame:
     """Per document: its number of lines, of those removed, and their places (from 0)."""
-    sizes = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    sizes = sizes.select("doc_id", F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"))
-    out = sizes.join(_by_document(written(removed_lines(documents), "removed-lines")), "_id", "left")
+    sizes = documents.select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    out = sizes.join(_by_document(written(removed_lines(documents), "removed-lines")), "row", "left")
     places = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", F.size(places).cast("long").alias("n_removed"), places.alias("removed"))
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """documents with their columns, without the lines that go; documents that lose every line go too."""
-    columns = documents.columns
-    keyed = documents.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    out = keyed.join(_by_document(written(removed_lines(documents), "removed-lines")), "_id", "left")
-    split = F.split("text", "\n")
-    kept = F.filter(split, lambda x, i: ~F.array_contains("removed", i))
-    left = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = out.withColumn("_left", left).where(F.col("removed").isNull() | (F.length(F.trim("_left")) > 0))
-    return out.withColumn("text", F.col("_left")).select(*columns)
+    removed = _by_document(written(removed_lines(documents), "removed-lines")).withColumnRenamed("row", "_row").withColumnRenamed("removed", "_removed")
+    out = documents.withColumn("_row", _row()).join(removed, "_row", "left")
+
+    def without(parts: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_removed"))
+        return F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n")
+
+    # the one-element array binds the split text, which is not split again for each line
+    left = F.transform(F.array(F.split("text", "\n")), without)[0]
+    out = out.withColumn("_left", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(left)).where(F.col("_removed").isNull() | (F.length(F.btrim("_left", F.lit(" \t\r\n\x0b\x0c"))) > 0))
+    return out.withColumn("text", F.col("_left")).select(*documents.columns)

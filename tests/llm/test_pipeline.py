@@ -39,3 +39,25 @@ def test_stages(spark, tmp_path):
             assert start == at and total == len(ids) // 4 and crc == zlib.crc32(ids[4 * start : 4 * (start + n)])
             at += n
         assert 4 * at == len(ids)
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    sf_dir = str(tmp_path)
+    good = [r.text for r in common.table(spark, "/root/testdata/sf0.001", "documents").where("length(text) BETWEEN 300 AND 2000").orderBy("doc_id").limit(30).collect()]
+    leak = "What is the height of the seventh tower in the old harbour town of Brennholm? It measures ninety three cubits."
+    rows = [(i, t) for i, t in enumerate(good)] + [(100, None), (101, ""), (None, "a text that has no number but is there " + good[0][:40]), (None, None), (3, good[3]), (5, "another text of number five, " + leak), (102, "nothing but filler before it. " + leak)]
+    docs = spark.createDataFrame([(i, t, len(t or ""), "clash", 7) for i, t in rows], "doc_id long, text string, n_chars long, score string, key int")
+    docs.write.parquet(f"{sf_dir}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(101, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[3:]:
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, sf_dir)
+            assert name == "packing" or out.columns == docs.columns
+            if given is not docs:
+                assert out.count() == 0
+            elif name == "benchmark decontamination":
+                kept = [(r.doc_id, r.text) for r in out.collect()]
+                # of two rows with one doc_id, the one with the leak goes
+                assert (5, good[5]) in kept and len(kept) == len(rows) - 2 and not any(t and leak in t for _, t in kept)

@@ -1,6 +1,7 @@
 """Quality, secrets, main text, near documents, decontamination and line deduplication against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -58,6 +59,33 @@ def test_score_is_the_sparse_dot_product():
 # --- secrets
 
 
+def test_training_equals_plain_updates():
+    # follow-the-regularised-leader one weight at a time, in plain Python
+    rng, rows = random.Random(4), []
+    for k in range(60):
+        ids = sorted(rng.sample(range(50), rng.randrange(1, 9)))
+        rows.append((np.array(ids), np.array([rng.random() + 0.1 for _ in ids]), float(any(i < 12 for i in ids))))
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n.get(i, 0.0))) / quality.ALPHA + quality.L2)
+
+    order = np.random.default_rng(0)
+    for _ in range(quality.EPOCHS):
+        for k in order.permutation(len(rows)):
+            ids, values, y = rows[k]
+            w = [weight(i) for i in ids.tolist()]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, values.tolist(), strict=True))))
+            for i, x, wi in zip(ids.tolist(), values.tolist(), w, strict=True):
+                g = (p - y) * x
+                s = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + g - s * wi, n.get(i, 0.0) + g * g
+    got = quality.train(rows)
+    assert np.abs(got[:50] - [weight(i) for i in range(50)]).max() < 1e-9 and not got[50:].any()
+
+
 def brute_spans(text):
     out = []
     assign = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -117,6 +145,23 @@ def test_key_words_within_a_word_are_not_scored():
     assert all(secret_scan.scan(f"{key}: hT9$kq2!Lw")[1] == 0.0 for key in ("bypass", "compass", "BYPASS", "mytoken"))
 
 
+def test_every_key_word_alone_is_scored():
+    # no result depends on other words of the text
+    for key in (*secret_scan.KEY_WORDS, *(k + c + x for k in secret_scan.KEY_OF for c in ("", "_", "-") for x in ("key", "token"))):
+        for text in (f"{key}=hT9$kq2!Lw", f"{key.upper()} : 'hT9$kq2!Lw'"):
+            spans, most = secret_scan.scan(text)
+            assert any(s[0] == "cost" for s in spans) and most > 8, text
+
+
+def test_long_texts_and_values_are_scanned_whole():
+    text = "x " * 500_000 + "password=" + "xy" * 1000 + " " + "0123456789abcdef" * 4
+    spans, most = secret_scan.scan(text)
+    assert [(k, e - s) for k, s, e in spans] == [("assign", 2009), ("hex", 64)] and most < secret_scan.LEAST_COST
+    rng = random.Random(3)
+    value = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789!$%") for _ in range(300_000))
+    assert secret_scan.scan("pwd=" + value)[1] > 300_000
+
+
 # --- main text
 
 NAV = "<nav><ul><li><a href='/a'>Home page</a></li><li><a>About us</a></li></ul></nav>"
@@ -135,6 +180,30 @@ def test_main_text(name):
     assert html_text.main_text(page) == expected
 
 
+LONG = " ".join(["words of an article that goes on"] * 12)
+PLAIN = {
+    "divisions": (f"<body><div>My site</div><div><a>Home</a> <a>About us</a> <a>Contact page</a></div><div><h1>A title of some words</h1><div>{LONG}</div><div>a short one</div><div>{LONG}</div></div><div>Copyright 2020 all rights reserved</div></body>", f"A title of some words {LONG} a short one {LONG}"),
+    "table": (f"<table><tr><td><a>Link one</a><br><a>Link two</a><br><a>Third</a></td><td><p>{LONG}</p><math>x + y</math><p>{LONG}</p></td></tr><tr><td>Impressum und Datenschutz</td></tr></table>", f"{LONG} x + y {LONG}"),
+    "german": (f"<div class='kopf'><span>Meine Seite</span></div><div class='inhalt'><h1>Ein Titel mit einigen Worten</h1><p>{LONG}</p></div><div class='fuss'>Alle Rechte vorbehalten</div>", f"Ein Titel mit einigen Worten {LONG}"),
+    "comments": (f"<div><p>{LONG}</p><p>{LONG}</p></div><section id='feedback'><div>Anna <a>3 May</a></div><p>nice one indeed</p><div><a>Reply</a></div><div>Bob <a>4 May</a></div><p>not at all</p><div><a>Reply</a></div></section>", f"{LONG} {LONG}"),
+}
+
+
+@pytest.mark.parametrize("name", list(PLAIN))
+def test_main_text_of_pages_without_telling_names(name):
+    page, expected = PLAIN[name]
+    assert html_text.main_text(page) == expected
+
+
+def test_best_region_equals_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        gains = [rng.choice((-3.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0)) for _ in range(rng.randrange(0, 25))]
+        begin, end = html_text.best_region(gains)
+        best = max((sum(gains[i:j]) for i in range(len(gains)) for j in range(i + 1, len(gains) + 1)), default=0.0)
+        assert sum(gains[begin:end]) == max(best, 0.0)
+
+
 def test_main_text_rows(spark):
     rows = [(i, f"u{i}", p, "clash") for i, (p, _) in enumerate(PAGES.values())] + [(0, None, "<p>repeated id</p>", "clash"), (99, "long", "<article>" + "<p>word word</p>" * 50_000 + "</article>", "x")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
@@ -211,7 +280,7 @@ def test_tree_finds_every_pair_that_is_near():
     base = [rng.integers(0, 2**63, 200).astype(np.uint64) for _ in range(30)]
     sets = [np.unique(np.concatenate([b[: 200 - k], rng.integers(0, 2**63, k).astype(np.uint64)])) for b in base for k in (0, 5, 20, 60)]
     sizes, bits = np.array(list(map(len, sets))), np.stack([ngram_join._bitmap(s).view(np.uint64) for s in sets])
-    tree = ngram_join.Tree(sizes, bits, np.arange(len(sets)))
+    tree = ngram_join.Tree(sizes, bits, sizes, np.arange(len(sets)))
     found = {tuple(sorted(p)) for i, j in ngram_join.traverse(tree, tree, True) for p in zip(i.tolist(), j.tolist(), strict=True)}
     near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * (s := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - s)}
     assert near and near <= found and len(found) < 2 * len(near)
@@ -314,12 +383,14 @@ def test_latent_directions_span_the_leading_subspace(spark):
 # --- line deduplication
 
 
-def brute_lines(rows):
-    """(doc_id, line_no) that go, by comparing all lines."""
-    lines = sorted(((d if d is not None else -(1 << 63)), n, x.strip(" ").lower()) for d, t in rows if t is not None for n, x in enumerate(t.split("\n")))
-    lines = [x for x in lines if len(x[2]) >= line_dedup.LEAST_CHARS]
+def brute_lines(spark, rows):
+    """(row, line_no) that go, by comparing all lines; rows that differ in doc_id or text are different documents."""
+    hashed = spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(rows)], "i int, doc_id long, text string").selectExpr("i", "xxhash64(doc_id, text) AS row").collect()
+    row = {r.i: r.row for r in hashed}
+    lines = sorted(((d if d is not None else -(1 << 63)), row[i], n, x.strip(" \t\r\x0b\x0c").lower()) for i, (d, t) in enumerate(rows) if t is not None for n, x in enumerate(t.split("\n")))
+    lines = [x for x in lines if x[3]]
     k = line_dedup.SHINGLE
-    sets = {x: frozenset(x[i : i + k] for i in range(max(1, len(x) - k + 1))) for _, _, x in lines}
+    sets = {x: frozenset(x[i : i + k] for i in range(max(1, len(x) - k + 1))) for _, _, _, x in lines}
     names = sorted(sets)
     parent = {x: x for x in names}
 
@@ -331,16 +402,20 @@ def brute_lines(rows):
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
             s = len(sets[a] & sets[b])
-            if s >= line_dedup.LEAST * (len(sets[a]) + len(sets[b]) - s):
+            if 100 * s >= line_dedup.LEAST * (len(sets[a]) + len(sets[b]) - s):
                 parent[root(b)] = root(a)
     seen, gone = {}, set()
-    for d, n, x in lines:
-        place = (d, n)
-        if seen.setdefault(root(x), place) != place:
-            gone.add(place)
+    for _, r, n, x in lines:
+        if seen.setdefault(root(x), (r, n)) != (r, n):
+            gone.add((r, n))
     return gone
 
 
+def removed(spark, rows):
+    found = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {(r.row, r.line_no) for r in found}
+
+
 def test_line_dedup(spark):
     rng = random.Random(9)
     pool = [prose(rng.randrange(5, 60), rng) for _ in range(60)]
@@ -349,27 +424,38 @@ def test_line_dedup(spark):
         lines = []
         for _ in range(rng.randrange(1, 8)):
             line = rng.choice(pool) if rng.random() < 0.5 else prose(rng.randrange(3, 50), rng)
-            if rng.random() < 0.3 and len(line) > 150:
-                i = rng.randrange(len(line) - 3)
+            if rng.random() < 0.3 and len(line) > 40:
+                i = rng.choice((0, len(line) - 1, rng.randrange(len(line) - 3)))
                 line = line[:i] + "q" + line[i + 1 :]
             lines.append(line.upper() if rng.random() < 0.1 else line)
         rows.append((d, "\n".join(lines)))
-    rows += [(500, None), (501, ""), (502, "short\nshort\n\n"), (503, "wide\n" + " ".join(pool) * 3), (504, pool[0]), (504, pool[1]), (None, pool[2])]
-    documents = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, line string")
-    gone = {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(documents).collect()}
-    expected = brute_lines(rows)
+    rows += [(500, None), (501, ""), (502, "short\nshort\n\n"), (503, "wide\n" + " ".join(pool) * 3), (504, pool[0]), (504, pool[1]), (505, " \t\n"), (None, pool[2])]
+    documents = spark.createDataFrame([(*r, "clash", -1) for r in rows], "doc_id long, text string, line string, key int")
+    gone = {(r.row, r.line_no) for r in line_dedup.removed_lines(documents).collect()}
+    expected = brute_lines(spark, rows)
     assert expected and gone == expected
     kept = line_dedup.deduplicated(documents)
     assert kept.columns == documents.columns
     by_id = {r.doc_id: r.text for r in kept.collect()}
-    assert by_id[500] is None and by_id[501] == "" and by_id[502] == "short\nshort\n\n"
+    assert by_id[500] is None and by_id[501] == "" and by_id[502] == "short\n\n" and by_id[505] == " \t\n"
+    hashes = {r.doc_id: r.row for r in documents.selectExpr("doc_id", "xxhash64(doc_id, text) AS row").collect()}
     for d, t in rows:
         if d is not None and d < 500:
-            left = [x for n, x in enumerate(t.split("\n")) if (d, n) not in expected]
+            left = [x for n, x in enumerate(t.split("\n")) if (hashes[d], n) not in expected]
             assert by_id.get(d) == ("\n".join(left) if left else None)
-    counts = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.removals(documents).collect()}
-    assert counts[502] == (4, 0) and counts[500] == (0, 0) and sum(n for _, n in counts.values()) >= len(expected) - 2
-    assert line_dedup.removals(documents.limit(0)).count() == 0
+    sizes = {r.doc_id: (r.n_lines, r.n_removed, list(r.removed)) for r in line_dedup.removals(documents).collect()}
+    assert sizes[500] == (0, 0, []) and sizes[501] == (1, 0, []) and sizes[502] == (4, 1, [1])
+    assert line_dedup.removals(documents.limit(0)).count() == 0 and line_dedup.deduplicated(documents.limit(0)).count() == 0
+
+
+def test_line_dedup_keeps_lines_that_are_found_once(spark):
+    # rows that share a doc_id, or have none, lose copies only
+    copied, own = "a line that another document has as well", ["one that is found only here: first", "and a second that nobody else has", "the third is all by itself, too"]
+    rows = [(1, copied), (7, copied), (7, own[0]), (None, copied), (None, own[1]), (None, own[2] + "\n" + copied), (7, own[0])]
+    kept = sorted((str(r.doc_id), r.text) for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    texts = [t for _, t in kept]
+    assert sum(t.count(copied) for t in texts) == 1 and texts.count(own[0]) == 2 and own[1] in texts
+    assert sum(own[2] in t for t in texts) == 1 and removed(spark, rows) == brute_lines(spark, rows)
 
 
 def test_line_dedup_divides_large_buckets(spark, monkeypatch):
@@ -378,8 +464,7 @@ def test_line_dedup_divides_large_buckets(spark, monkeypatch):
     rng = random.Random(4)
     long = [prose(400, rng) for _ in range(3)]
     rows = [(i, long[i % 3][: 1900 - 3 * i] + prose(3, rng)) for i in range(60)]
-    documents = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(documents).collect()} == brute_lines(rows)
+    assert removed(spark, rows) == brute_lines(spark, rows)
 
 
 def family(rng, n, twins, size, changed, slight):
@@ -405,8 +490,7 @@ def line_pairs(rows):
 def test_line_dedup_settles_by_exact_comparison(spark):
     # lines of J 0.73 to each other are not near, but each has a near twin
     rows = family(random.Random(5), 60, 60, 400, 60, 12)
-    gone = {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    expected = brute_lines(rows)
+    gone, expected = removed(spark, rows), brute_lines(spark, rows)
     assert len(expected) == 60 and len(gone & expected) >= 57 and gone <= expected, len(gone)
 
 
@@ -416,16 +500,30 @@ def test_line_dedup_recall_near_the_threshold(spark, places, changed, least):
     rng, rows = random.Random(places), []
     for i in range(600):
         rows += [(2 * i + j, x) for j, (_, x) in enumerate(family(rng, 1, 1, places + line_dedup.SHINGLE - 1, changed, changed))]
-    found = len({r.doc_id for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()})
+    found = len(removed(spark, rows))
     print(f"recall at {places} shingles: {found / 600:.4f}")
     assert least * 600 <= found <= 600
 
 
+def test_line_dedup_recall_of_short_lines(spark):
+    # lines of 16 to 48 characters with a change of one to three characters at an end, against brute force
+    rng, rows = random.Random(16), []
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    for i in range(900):
+        line = "".join(rng.choice(letters[:-1]) if j in (0, 47) else rng.choice(letters) for j in range(48))[: rng.randrange(16, 49)].strip()
+        k = rng.randrange(1, 4)
+        rows += [(2 * i, line), (2 * i + 1, line[:-k] + "0" * k if rng.random() < 0.5 else "0" * k + line[k:])]
+    sets = [frozenset(x[j : j + line_dedup.SHINGLE] for j in range(max(1, len(x) - line_dedup.SHINGLE + 1))) for _, x in rows]
+    near = sum(100 * (s := len(a & b)) >= 75 * (len(a) + len(b) - s) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    found = len(removed(spark, rows))
+    print(f"recall of short lines: {found} of {near}")
+    assert near > 300 and 0.97 * near <= found <= near
+
+
 def test_line_dedup_compares_whole_large_buckets(spark, monkeypatch):
     # twins of J 0.79 within a family of J 0.73, in buckets far above PAIRED
     monkeypatch.setattr(line_dedup, "PAIRED", 2)
-    monkeypatch.setattr(line_dedup, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
     rows = family(random.Random(6), 160, 60, 400, 60, 45)
-    gone = {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    expected = brute_lines(rows)
+    gone, expected = removed(spark, rows), brute_lines(spark, rows)
     assert len(expected) == 60 and len(gone & expected) >= 58 and gone <= expected, len(gone)
