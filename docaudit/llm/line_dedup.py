@@ -35,8 +35,9 @@ SHINGLE, BANDS, ROWS, LEAST, CHUNK = 12, 8, 3, 75, 8
 #: Members of a bucket up to which all its pairs are compared, lines of a block where that is so in larger ones, and keys
 #: that may be broadcast (their number is checked).
 PAIRED, BLOCK, FEW = 32, 256, 200_000
-#: A division must take away this share of the pairs in large buckets, or they are compared in blocks.
-DIVIDED = 0.25
+#: Large buckets are divided while they hold more pairs than FEW_PAIRS for each member of a bucket, which is linear work, and
+#: a division takes away the share DIVIDED of them; what is left is compared in blocks.
+FEW_PAIRS, DIVIDED = 8, 0.25
 #: Minima of BANDS x ROWS (24) in which a pair must agree before its lines are compared: near pairs agree in 18 on average.
 AGREE = 11
 #: Odd factors of the hashes; multiplied modulo 2 ** 32, unlike XOR, they order the shingles independently of each other.
@@ -194,13 +195,14 @@ def near_links(found: DataFrame, signatures: DataFrame) -> DataFrame:
     links = written(_near(tested, texts), "line-links")
     rows = _grouped(members.where("many > 2").select("band", "key"), components(links)).withColumns({"n": F.lit(1).cast("long"), "rest": F.lit(1).cast("long")})
     # sizes are unknown at first: all are 1, so that nothing but components is told apart
-    rows, before = _reaching(rows), None
+    rows, before, enough = _reaching(rows), None, None
     while True:
         rows = written(rows, "line-buckets")
         sizes = written(rows.groupBy("band").agg(F.count("*").alias("many"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("band", "many"), "line-sizes")
         large = sizes.where(F.col("many") > PAIRED)
+        enough = enough or FEW_PAIRS * rows.count()
         most = large.agg(F.coalesce(F.sum(F.col("many").cast("double") ** 2), F.lit(0.0))).first()[0]
-        divides = most > 0 and (before is None or most <= (1 - DIVIDED) * before)
+        divides = most > enough and (before is None or most <= (1 - DIVIDED) * before)
         pairs = _agreeing(_pairs(rows, sizes.where(F.col("many") <= PAIRED) if divides else sizes), minima).join(tested, ["a", "b"], "left_anti")
         links = links.unionByName(written(_near(written(pairs, "line-pairs"), texts), "line-links"))
         if not divides:

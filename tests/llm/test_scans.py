@@ -460,6 +460,7 @@ def test_line_dedup_keeps_lines_that_are_found_once(spark):
 
 def test_line_dedup_divides_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "PAIRED", 2)
+    monkeypatch.setattr(line_dedup, "FEW_PAIRS", 0)
     monkeypatch.setattr(line_dedup, "FEW", 0)
     rng = random.Random(4)
     long = [prose(400, rng) for _ in range(3)]
@@ -523,6 +524,7 @@ def test_line_dedup_recall_of_short_lines(spark):
 def test_line_dedup_compares_whole_large_buckets(spark, monkeypatch):
     # twins of J 0.79 within a family of J 0.73, in buckets far above PAIRED
     monkeypatch.setattr(line_dedup, "PAIRED", 2)
+    monkeypatch.setattr(line_dedup, "FEW_PAIRS", 0)
     monkeypatch.setattr(line_dedup, "BLOCK", 16)
     rows = family(random.Random(6), 160, 60, 400, 60, 45)
     gone, expected = removed(spark, rows), brute_lines(spark, rows)
