@@ -145,6 +145,31 @@ def test_pair_scores_equal_a_plain_computation(spark):
         assert abs(r.sequence_ratio - (SequenceMatcher(None, a, b, autojunk=False).ratio() if gate else 0)) < 1e-5
 
 
+def test_large_batches_are_compared_on_arrays():
+    """Five documents of 120 paragraphs, 144,000 pairs: some seconds, where a loop over tokens takes minutes; two of them by hand."""
+    import time
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(300)]
+    texts = ["".join(rng.choice(words) for _ in range(50)) for _ in range(600)]
+    ids, ords, s = np.repeat(np.arange(5), 120), np.tile(np.arange(120), 5), config.TextCompare()
+    began = time.process_time()
+    columns = text_compare._compare(7, ids, ords, texts, np.ones(600), s, False)
+    assert time.process_time() - began < 15
+    rows = {(a, b, i, j): (shared, rank, jaccard) for _, a, b, i, j, shared, rank, jaccard, *_ in zip(*[c.tolist() for c in columns], strict=True)}
+    assert len(rows) == 10 * 120 * 30
+    two = [{t[i : i + 2] for i in range(len(t) - 1)} for t in texts]
+    for a, b, i in ((0, 1, 5), (2, 4, 119)):
+        x = two[120 * a + i]
+        best = sorted((-len(x & y) / len(x | y), j) for j, y in enumerate(two[120 * b : 120 * b + 120]))[:30]
+        assert [(a, b, i, j) in rows and rows[a, b, i, j][1:] == (k + 1, -v) for k, (v, j) in enumerate(best)] == [True] * 30
+
+
+def test_paragraphs_are_prepared_once(spark):
+    plan = text_compare.prepared(paragraphs(spark, {1: (0, [(SHARED, None)])}), responses=("that the ",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and plan.count("regexp_replace") == 1
+
+
 def test_styles(spark):
     runs = [("d", p, i, "Arial", 12.0) for p in range(4) for i in range(2)] + [("d", 4, 0, "Courier New", 18.0), ("e", 0, 0, "X", 10.0), ("e", 0, 1, "Y", 11.0), ("e", 1, 0, None, 10.3), ("f", 0, 0, None, None)]
     signatures = format_check.run_signatures(spark.createDataFrame(runs, "doc_id string, para_id long, run_ord int, font string, size double"))
