@@ -170,6 +170,40 @@ def test_paragraphs_are_prepared_once(spark):
     assert plan.count("RLIKE") == 1 and plan.count("regexp_replace") == 1
 
 
+def test_regions_are_found_by_runs():
+    """Region by region, as a flood fill finds them; a noisy page takes no time for each region's whole page."""
+    import time
+
+    rng = np.random.default_rng(4)
+    for share in (0.1, 0.4, 0.6):
+        mask = rng.random((30, 25)) < share
+        label, n = pixels._labels(mask)
+        seen, regions = set(), 0
+        for start in zip(*map(list, np.nonzero(mask)), strict=True):
+            if start in seen:
+                continue
+            regions += 1
+            todo, own = [start], set()
+            while todo:
+                if (at := todo.pop()) not in own and 0 <= at[0] < 30 and 0 <= at[1] < 25 and mask[at]:
+                    own.add(at)
+                    todo += [(at[0] + i, at[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            assert {label[x] for x in own} == {label[start]} and (label == label[start]).sum() == len(own)
+            seen |= own
+        assert regions == n and not label[~mask].any()
+    page = np.full((600, 800, 3), 255, np.uint8)
+    page[10::12, 10::12] = (200, 20, 30)  # 3,300 red dots
+    began = time.process_time()
+    assert pixels.seal_candidates(page) == []
+    assert time.process_time() - began < 1.5
+
+
+def test_pages_are_dealt_out(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.queries()["seal_and_ink_candidates"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
 def test_styles(spark):
     runs = [("d", p, i, "Arial", 12.0) for p in range(4) for i in range(2)] + [("d", 4, 0, "Courier New", 18.0), ("e", 0, 0, "X", 10.0), ("e", 0, 1, "Y", 11.0), ("e", 1, 0, None, 10.3), ("f", 0, 0, None, None)]
     signatures = format_check.run_signatures(spark.createDataFrame(runs, "doc_id string, para_id long, run_ord int, font string, size double"))
