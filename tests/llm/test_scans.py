@@ -366,6 +366,14 @@ def test_common_subsequence():
         assert decontam.common_subsequence(np.array(a), np.array(b)) == table[-1]
 
 
+def test_partial_sums_of_few_tasks_are_shuffled_once(spark, monkeypatch):
+    steps, summed = [], decontam._summed
+    monkeypatch.setattr(decontam, "_summed", lambda kind: steps.append(kind) or summed(kind))
+    rows = [(bytearray(np.arange(i, i + 9).astype("<i4").tobytes()), 1.0) for i in range(40)]
+    basis = decontam.latent_directions(spark.createDataFrame(rows, "terms binary, weight double").repartition(4), np.ones(decontam.TERMS), 5)
+    assert len(steps) == 3 and basis.shape == (decontam.TERMS, 5)  # two rounds and the small Gram matrix
+
+
 def test_latent_directions_span_the_leading_subspace(spark):
     rng = np.random.default_rng(0)
     rows = [(bytearray(np.repeat(rng.choice(40, 12) + 40 * (i % 5), 2).astype("<i4").tobytes()), 1.0) for i in range(200)]
