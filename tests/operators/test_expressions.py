@@ -165,6 +165,13 @@ def test_large_batches_are_compared_on_arrays():
         assert [(a, b, i, j) in rows and rows[a, b, i, j][1:] == (k + 1, -v) for k, (v, j) in enumerate(best)] == [True] * 30
 
 
+def test_ratio_of_copies_needs_no_search(monkeypatch):
+    for a, b in (("abcab", "abcab"), ("abcab", "bcaab"), ("a", "b")):
+        assert text_compare._ratio(a, b) == SequenceMatcher(None, a, b, autojunk=False).ratio()
+    monkeypatch.setattr(text_compare, "SequenceMatcher", None)
+    assert text_compare._ratio("ab" * 3000, "ab" * 3000) == 1.0
+
+
 def test_paragraphs_are_prepared_once(spark):
     plan = text_compare.prepared(paragraphs(spark, {1: (0, [(SHARED, None)])}), responses=("that the ",))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == 1 and plan.count("regexp_replace") == 1
