@@ -177,6 +177,17 @@ def test_paragraphs_are_prepared_once(spark):
     assert plan.count("RLIKE") == 1 and plan.count("regexp_replace") == 1
 
 
+def test_scores_of_a_least_are_those_of_all_above_it(spark):
+    rng = random.Random(3)
+    docs = {d: (d // 3, [(" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(8)), None) for _ in range(6)]) for d in range(6)}
+    prepared = text_compare.prepared(paragraphs(spark, docs))
+    every = text_compare.scores(prepared, sequence=False)
+    some = sorted(every.where("score >= 0.6").collect())
+    assert 0 < len(some) < every.count()
+    assert sorted(text_compare.scores(prepared, sequence=False, least=0.6).collect()) == some
+    assert text_compare.scores(prepared, sequence=False, least=2.0).count() == 0
+
+
 def test_regions_are_found_by_runs():
     """Region by region, as a flood fill finds them; a noisy page takes no time for each region's whole page."""
     import time
