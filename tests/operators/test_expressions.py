@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docaudit import config
 from docaudit.functions import image, pixels, text
 from docaudit.operators import audit, format_check, report, scoring, sections, text_compare
+from docaudit.plans import queries
 
 random.seed(3)
 ODD = ["  A \t B　C  ", "本系统，支持 AI / 智能校验。", "naïve ß ς ΟΔΟΣ", "", " ", "\x1c x \x1f", "a\nb ", "_a-1_"]
@@ -188,6 +189,20 @@ def test_scores_of_a_least_are_those_of_all_above_it(spark):
     assert text_compare.scores(prepared, sequence=False, least=2.0).count() == 0
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_files_are_dealt_out_before_work(spark):
+    for make in (queries._paragraphs, queries._images):
+        assert "RepartitionByExpression" in _plan(make(spark, "/root/testdata/sf0.001"))
+
+
+def test_bits_of_images_are_computed_once(spark):
+    plan = _plan(queries.image_pairs_banded(spark, "/root/testdata/sf0.001"))
+    assert plan.count("array_sort") == 2  # once for each side
+
+
 def test_regions_are_found_by_runs():
     """Region by region, as a flood fill finds them; a noisy page takes no time for each region's whole page."""
     import time
