@@ -194,7 +194,7 @@ def _plan(df) -> str:
 
 
 def test_small_files_are_dealt_out_before_work(spark):
-    for make in (queries._paragraphs, queries._images):
+    for make in (queries._paragraphs, queries._files, queries._images):
         assert "RepartitionByExpression" in _plan(make(spark, "/root/testdata/sf0.001"))
 
 
@@ -203,6 +203,19 @@ def test_bits_of_images_are_computed_once(spark):
     assert plan.count("array_sort") == 2  # once for each side
 
 
+def _nodes(plan) -> list[str]:
+    below = plan.children()
+    return [plan.nodeName(), *[n for i in range(below.size()) for n in _nodes(below.apply(i))]]
+
+
+@pytest.mark.parametrize("name", ["text_doc_stats", "complete_analysis"])
+def test_branches_read_kept_steps(spark, name):
+    """What several branches read is kept: none prepares paragraphs or compares texts on its own."""
+    nodes = _nodes(queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().withCachedData())
+    spark.catalog.clearCache()
+    assert "InMemoryRelation" in nodes and not {"Window", "MapInArrow", "MapInPandas", "Generate"} & set(nodes) - ({"Generate"} if name == "complete_analysis" else set())
+
+
 def test_regions_are_found_by_runs():
     """Region by region, as a flood fill finds them; a noisy page takes no time for each region's whole page."""
     import time
