@@ -216,6 +216,18 @@ def test_branches_read_kept_steps(spark, name):
     assert "InMemoryRelation" in nodes and not {"Window", "MapInArrow", "MapInPandas", "Generate"} & set(nodes) - ({"Generate"} if name == "complete_analysis" else set())
 
 
+def test_four_grams_and_spaces(spark):
+    """Equal to the plain forms, also beyond the basic plane and with odd spaces; usual texts are not taken apart by characters."""
+    from docaudit.operators import stylometry
+
+    rows = [*ODD, "abcdefgh", "𝒜𝒷cd𠀀efg", "𠀀" * 5, "a b  c\td\u2003e", "two words", "\u00a0x y", "abc"]
+    assert one(spark, rows, lambda x: stylometry._fours(x), "string") == [[t[i : i + 4] for i in range(len(t) - 3)] for t in rows]
+    assert one(spark, rows, text.comparable) == ["".join(c for c in t if "一" <= c <= "鿿" or c.isascii() and c.isalnum()).lower() for t in rows]
+    got = stylometry.signals(spark.createDataFrame([(t,) for t in rows], "text string"))
+    assert [r.chars for r in got.collect()] == [len(" ".join(t.split())) for t in rows]
+    assert "regexp_extract_all" in _plan(got)
+
+
 def test_regions_are_found_by_runs():
     """Region by region, as a flood fill finds them; a noisy page takes no time for each region's whole page."""
     import time
