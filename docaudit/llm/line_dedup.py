@@ -3,7 +3,8 @@
 Lines are compared in lower case, without white space at their ends, by their shingles: the SHINGLE characters from each
 place on (a shorter line is its only shingle).
 1. Minima of BANDS x ROWS hashes of all shingles, aggregated as the shingles stream by, CHUNK at a time; ROWS of them are a
-   bucket's key.
+   bucket's key. All but the last row of each band come first; only lines that share those of a band with another line can
+   meet in a bucket, and get the last row too.
 2. Each member of a bucket is compared with its leader, the line in the largest buckets of all, of equals the most frequent
    one (of a group of copies the one with the fewest changes). Near lines are joined into components; buckets of one component
    are done.
@@ -25,13 +26,13 @@ from __future__ import annotations
 from functools import reduce
 from random import Random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, written
 from .components import components
 
-SHINGLE, BANDS, ROWS, LEAST, CHUNK = 12, 8, 3, 75, 8
+SHINGLE, BANDS, ROWS, LEAST, CHUNK = 12, 8, 3, 75, 16
 #: Members of a bucket up to which all its pairs are compared, lines of a block where that is so in larger ones, and keys
 #: that may be broadcast (their number is checked).
 PAIRED, BLOCK, FEW = 32, 256, 200_000
@@ -42,8 +43,12 @@ FEW_PAIRS, DIVIDED = 8, 0.25
 AGREE = 11
 #: Odd factors of the hashes; multiplied modulo 2 ** 32, unlike XOR, they order the shingles independently of each other.
 _FACTORS = [Random(7 + k).randrange(1 << 30, 1 << 31) | 1 for k in range(BANDS * ROWS)]
+#: The factors of all rows of each band but the last one.
+_FIRST = [x for k, x in enumerate(_FACTORS) if k % ROWS < ROWS - 1]
 #: Stands for a null doc_id in the order of documents.
 _NO_ID = -(1 << 63)
+#: White space at the ends of lines.
+_BLANK = " \t\r\x0b\x0c"
 
 
 def _row() -> Column:
@@ -54,11 +59,14 @@ def _row() -> Column:
 def lines(documents: DataFrame) -> DataFrame:
     """(row, doc_id, line_no, line, key) of every line that is not blank; line as it is compared, key its hash."""
     split = documents.select(_row().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return split.withColumn("line", F.lower(F.btrim("line", F.lit(" \t\r\x0b\x0c")))).where(F.length("line") > 0).withColumn("key", F.xxhash64("line"))
+    # trimming from the right reads every character, so it is left to lines that need it
+    open_ended = reduce(Column.__or__, [at("line", F.lit(x)) for x in _BLANK for at in (F.startswith, F.endswith)])
+    trimmed = F.when(open_ended, F.btrim("line", F.lit(_BLANK))).otherwise(F.col("line"))
+    return split.where(F.ltrim("line", F.lit(_BLANK)) != "").withColumn("line", F.lower(trimmed)).withColumn("key", F.xxhash64("line"))
 
 
-def _signatures(found: DataFrame) -> DataFrame:
-    """(key, minima) of each distinct line.
+def _signatures(found: DataFrame, factors: list[int] = _FACTORS) -> DataFrame:
+    """(key, minima) of each distinct line, a minimum for each factor.
 
     A shingle is a piece of UTF-16 units, as substring of bytes takes the same time at each place. A row is CHUNK shingles (the
     last one again where the line ends), whose least hashes meet the aggregation's buffer once.
@@ -68,8 +76,8 @@ def _signatures(found: DataFrame) -> DataFrame:
     streamed = units.select("key", "units", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(CHUNK))).alias("at"))
     shingle = lambda j: F.substring(F.col("units"), 2 * F.least(F.col("at") + j, F.col("last")) + 1, F.lit(2 * SHINGLE))
     hashed = streamed.select("key", *[F.hash(shingle(j)).cast("long").alias(f"h{j}") for j in range(CHUNK)])
-    minima = [F.min(F.least(*[(F.col(f"h{j}") * F.lit(x)).bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(CHUNK)])).alias(f"m{k}") for k, x in enumerate(_FACTORS)]
-    return hashed.groupBy("key").agg(*minima).select("key", F.array(*[(F.col(f"m{k}") - F.lit(1 << 31)).cast("int") for k in range(BANDS * ROWS)]).alias("minima"))
+    minima = [F.min(F.least(*[(F.col(f"h{j}") * F.lit(x)).bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(CHUNK)])).alias(f"m{k}") for k, x in enumerate(factors)]
+    return hashed.groupBy("key").agg(*minima).select("key", F.array(*[(F.col(f"m{k}") - F.lit(1 << 31)).cast("int") for k in range(len(factors))]).alias("minima"))
 
 
 def _of(rows: DataFrame, keys: DataFrame, on: str = "key") -> DataFrame:
@@ -77,6 +85,38 @@ def _of(rows: DataFrame, keys: DataFrame, on: str = "key") -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, on)
 
 
+def _buckets(signatures: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Buckets (band, low, high, many) of several lines, and their members (band, key, many); a band has rows of the minima."""
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col("minima")[b * rows + r] for r in range(rows)]) for b in range(BANDS)])
+    buckets = signatures.select(F.explode(bands).alias("band"), "key")
+    several = written(buckets.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("many")).where("many > 1"), "line-bands")
+    # a bucket of two is known by its ends; the others' members come by a join, without a shuffle if the buckets are few
+    larger = several.where("many > 2").select("band", "many")
+    two = several.where("many = 2").select("band", F.explode(F.array("low", "high")).alias("key"), "many")
+    return several, written(_of(buckets, larger, "band").select("band", "key", "many").unionByName(two), "line-buckets")
+
+
+def _texts(found: DataFrame) -> DataFrame:
+    """(key, line, occurs, places, sketch) of each distinct line that may meet another one in a bucket.
+
+    sketch: the distinct 16-bit hashes of the shingles at its places; null with characters beyond the basic plane, which are
+    two units.
+    """
+    signatures = written(_signatures(found, _FIRST), "line-signatures")
+    several, members = _buckets(signatures, ROWS - 1)
+    keys = written(members.select("key").distinct(), "line-keys")
+    texts = _of(found.select("key", "line"), keys).groupBy("key").agg(F.first("line").alias("line"), F.count("*").alias("occurs"))
+    texts = texts.withColumn("places", F.greatest(F.lit(1), F.floor(F.octet_length(F.encode("line", "UTF-16BE")) / 2).cast("int") - SHINGLE + 1))
+    # the one-element array binds the units, which are not encoded again for each place
+    hashed = lambda units: F.transform(F.sequence(F.lit(0), F.col("places") - 1), lambda at: F.shiftright(F.hash(F.substring(units, 2 * at + 1, F.lit(2 * SHINGLE))), 16).cast("short"))
+    each = F.transform(F.array(F.encode("line", "UTF-16BE")), hashed)[0]
+    sketch = F.when(F.octet_length(F.encode("line", "UTF-16BE")) == 2 * F.length("line"), F.array_distinct(each))
+    out = written(texts.select("key", "line", "occurs", "places", sketch.alias("sketch")), "line-texts")
+    for done in (signatures, several, members, keys):
+        forget(done)
+    return out
+
+
 def _same(a: str, b: str) -> Column:
     return reduce(Column.__add__, [(F.col(a)[k] == F.col(b)[k]).cast("int") for k in range(BANDS * ROWS)])
 
@@ -107,9 +147,26 @@ def _of_sets(use) -> Column:
     return F.transform(sets, lambda s: F.transform(F.array(F.size(F.array_intersect(s["x"], s["y"]))), lambda k: use(s["x"], s["y"], k))[0])[0]
 
 
+def _likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs(a, b) that may have the similarity by their sketches, without loss.
+
+    Hashes that only one line has stem from as many shingles, at least, that the other one lacks, and a line has no more
+    shingles than places.
+    """
+    a, b = (texts.select(F.col("key").alias(s), F.col("sketch").alias(f"sketch_{s}"), (F.col("places") - F.size("sketch")).alias(f"more_{s}")) for s in "ab")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bound = (100 + LEAST) * F.size(F.array_intersect("sketch_a", "sketch_b")) >= LEAST * (F.size("sketch_a") + F.size("sketch_b")) - (100 - LEAST) * F.least("more_a", "more_b")
+    unknown = F.col("sketch_a").isNull() | F.col("sketch_b").isNull()
+    return pairs.join(a, "a").repartition(tasks, "b").join(b, "b").where(unknown | bound).select("a", "b")
+
+
 def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs(a, b) whose lines have the similarity."""
-    return _with_lines(pairs, texts).where(_of_sets(lambda x, y, k: 100 * k >= LEAST * (F.size(x) + F.size(y) - k))).select("a", "b")
+    """pairs(a, b) whose lines have the similarity, as a table."""
+    likely = written(_likely(pairs, texts), "line-likely")
+    near = _with_lines(likely, texts).where(_of_sets(lambda x, y, k: 100 * k >= LEAST * (F.size(x) + F.size(y) - k))).select("a", "b")
+    out = written(near, "line-links")
+    forget(likely)
+    return out
 
 
 def _grouped(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -151,72 +208,81 @@ def _pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
 def _divided(members: DataFrame, scores: DataFrame, texts: DataFrame) -> DataFrame:
     """(band, key, component, n, rest) of smaller buckets that hold all near pairs of different components of members.
 
-    A bucket's leader is a member of the highest score. In an order of shingles that puts the leader's last, and before them
-    those of fewer of its followers first, two near lines share one of the first quarter; so a bucket for each such shingle
-    that is not the leader's, and one for the leader's.
+    A bucket's leader is a member of the highest score. In an order of shingles that puts the leader's last, first those that
+    only one component of its followers has and between them those of fewer followers first, two near lines share one of the
+    first quarter; so a bucket for each such shingle that is not the leader's, and one for the leader's.
     """
     scored = members.join(scores, "key")
     leaders = scored.groupBy("band").agg(F.max(F.struct("score", "occurs", "key")).alias("top")).select("band", F.col("top.key").alias("leader"))
-    led = written(_of(members, written(leaders, "line-leaders"), "band").select(F.col("key").alias("a"), F.col("leader").alias("b"), "component").distinct(), "line-led")
+    leaders = written(leaders, "line-leaders")
+    led = written(_of(members, leaders, "band").select(F.col("key").alias("a"), F.col("leader").alias("b"), "component").distinct(), "line-led")
     others = lambda x, y: F.transform(F.array_except(x, y), lambda t: F.xxhash64(t))
     measured = _of_sets(lambda x, y, k: F.struct(F.size(x).cast("long").alias("n"), k.cast("long").alias("shared"), others(x, y).alias("own")))
     own = written(_with_lines(led, texts).select(F.col("a").alias("key"), F.col("b").alias("leader"), "component", measured.alias("m")).select("key", "leader", "component", "m.*"), "line-own")
-    each = own.select("leader", "key", "component", "n", F.explode("own").alias("shingle"))
-    counted = each.join(each.groupBy("leader", "shingle").agg(F.count("*").alias("followers")), ["leader", "shingle"])
-    ranked = counted.groupBy("leader", "key", "component", "n").agg(F.sort_array(F.collect_list(F.struct("followers", "shingle"))).alias("own"))
-    prefix = F.slice("own", 1, (F.col("n") - F.ceil(F.col("n") * LEAST / 100) + 1).cast("int"))
-    besides = ranked.select("leader", "key", "component", "n", F.posexplode(prefix).alias("place", "x"))
-    besides = besides.select("leader", F.xxhash64("leader", "x.shingle").alias("band"), "key", "component", "n", (F.col("n") - F.col("place")).alias("rest"))
+    # by key, as the rows of a leader lie together
+    dealt = own.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    each = dealt.select("leader", "key", "component", "n", F.size("own").alias("owns"), F.explode("own").alias("shingle"))
+    each = each.select(F.xxhash64("leader", "shingle").alias("band"), "leader", "key", "component", "n", "owns")
+    # shingles of one component, which are most, go before any are joined
+    shared = written(each.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("followers")).where("c0 < c1").select("band", "followers"), "line-shared")
+    of_line = Window.partitionBy("leader", "key")
+    ranked = _of(each, shared, "band").withColumns({"rank": F.row_number().over(of_line.orderBy("followers", "band")), "several": F.count("*").over(of_line)})
+    besides = ranked.withColumn("place", F.col("owns") - F.col("several") + F.col("rank") - 1).where(F.col("place") < F.col("n") - F.ceil(F.col("n") * LEAST / 100) + 1)
+    besides = besides.select("leader", "band", "key", "component", "n", (F.col("n") - F.col("place")).alias("rest"))
     core = own.where("shared > 0").select("leader", F.xxhash64("leader", F.lit("core")).alias("band"), "key", "component", "n", F.col("shared").alias("rest"))
-    rows = written(_reaching(besides.unionByName(core)), "line-divided")
+    held = written(besides.unionByName(core), "line-mixed")
+    rows = written(_reaching(held), "line-divided")
     # of a leader's buckets with the same members (copies have many in common) the first in its order stands for all
     lists = rows.groupBy("leader", "band").agg(F.count("*").alias("many"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("members"), F.min(F.col("n") - F.col("rest")).alias("place"))
-    first = lists.groupBy("leader", "members", "many").agg(F.min(F.struct("place", "band")).alias("first")).select(F.col("first.band").alias("band"))
-    return rows.drop("leader").join(written(first, "line-firsts"), "band")
-
-
-def near_links(found: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Links between keys of near lines: enough of them for the components of all near pairs that share a bucket."""
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col("minima")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
-    buckets = signatures.select(F.explode(bands).alias("band"), "key")
-    several = written(buckets.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("many")).where("many > 1"), "line-bands")
-    # a bucket of two is known by its ends; the others' members come by a join, without a shuffle if the buckets are few
-    larger = several.where("many > 2").select("band", "many")
-    two = several.where("many = 2").select("band", F.explode(F.array("low", "high")).alias("key"), "many")
-    members = written(_of(buckets, larger, "band").select("band", "key", "many").unionByName(two), "line-buckets")
-    keys = written(members.groupBy("key").agg(F.sum("many").alias("score")), "line-keys")
-    minima = written(_of(signatures.select("key", "minima"), keys.select("key")), "line-minima")
-    texts = written(_of(found.select("key", "line"), keys.select("key")).groupBy("key").agg(F.first("line").alias("line"), F.count("*").alias("occurs")), "line-texts")
-    scores = written(keys.join(texts.select("key", "occurs"), "key"), "line-scores")
+    first_of = lists.groupBy("leader", "members", "many").agg(F.min(F.struct("place", "band")).alias("first")).select(F.col("first.band").alias("band"))
+    out = written(rows.drop("leader").join(written(first_of, "line-firsts"), "band"), "line-buckets")
+    for done in (leaders, led, own, shared, held, rows):
+        forget(done)
+    return out
+
+
+def near_links(texts: DataFrame) -> DataFrame:
+    """Links between keys of near lines of _texts(): enough of them for the components of all near pairs that share a bucket."""
+    minima = written(_signatures(texts), "line-minima")
+    several, members = _buckets(minima, ROWS)
+    scores = written(members.groupBy("key").agg(F.sum("many").alias("score")).join(texts.select("key", "occurs"), "key"), "line-scores")
     tops = members.where("many > 2").join(scores, "key").groupBy("band").agg(F.max(F.struct("score", "occurs", "key")).alias("top")).select("band", F.col("top.key").alias("leader"))
     led = members.join(tops, "band").where("key <> leader").select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b"))
     led = led.unionByName(several.where("many = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))).distinct()
     tested = written(_agreeing(led, minima), "line-pairs")
-    links = written(_near(tested, texts), "line-links")
+    links = _near(tested, texts)
     rows = _grouped(members.where("many > 2").select("band", "key"), components(links)).withColumns({"n": F.lit(1).cast("long"), "rest": F.lit(1).cast("long")})
     # sizes are unknown at first: all are 1, so that nothing but components is told apart
-    rows, before, enough = _reaching(rows), None, None
+    rows, before, enough = written(_reaching(rows), "line-buckets"), None, None
+    forget(several)
+    forget(members)
     while True:
-        rows = written(rows, "line-buckets")
         sizes = written(rows.groupBy("band").agg(F.count("*").alias("many"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("band", "many"), "line-sizes")
         large = sizes.where(F.col("many") > PAIRED)
         enough = enough or FEW_PAIRS * rows.count()
         most = large.agg(F.coalesce(F.sum(F.col("many").cast("double") ** 2), F.lit(0.0))).first()[0]
         divides = most > enough and (before is None or most <= (1 - DIVIDED) * before)
         pairs = _agreeing(_pairs(rows, sizes.where(F.col("many") <= PAIRED) if divides else sizes), minima).join(tested, ["a", "b"], "left_anti")
-        links = links.unionByName(written(_near(written(pairs, "line-pairs"), texts), "line-links"))
+        pairs = written(pairs, "line-pairs")
+        links = links.unionByName(_near(pairs, texts))
         if not divides:
             break
-        left = _grouped(_of(rows, large.select("band"), "band").select("band", "key"), components(links))
+        left = written(_grouped(_of(rows, large.select("band"), "band").select("band", "key"), components(links)), "line-left")
+        for done in (rows, sizes, pairs):
+            forget(done)
         rows, before = _divided(left, scores, texts), most
-    forget(texts)
+        forget(left)
+    for done in (minima, scores, tested, rows, sizes, pairs):
+        forget(done)
     return links
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
     """(row, doc_id, line_no) of every line that goes; a null doc_id as _NO_ID."""
     found = lines(documents)
-    roots = components(near_links(found, written(_signatures(found), "line-signatures")))
+    texts = _texts(found)
+    roots = components(near_links(texts))
+    forget(texts)
     grouped = written(found.select("row", "doc_id", "line_no", "key").join(roots, F.col("key") == F.col("node"), "left").select("row", "doc_id", "line_no", F.coalesce("root", "key").alias("group")), "line-groups")
     first = grouped.groupBy("group").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").select("group", "keep_id")
     several = written(grouped.join(first, "group"), "line-several")

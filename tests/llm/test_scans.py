@@ -3,9 +3,9 @@
 import hashlib
 import math
 import random
-from pathlib import Path
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -540,6 +540,73 @@ def test_line_dedup_compares_whole_large_buckets(spark, monkeypatch):
     assert len(expected) == 60 and len(gone & expected) >= 58 and gone <= expected, len(gone)
 
 
+def tables_of(monkeypatch):
+    """Rows of each table that line_dedup writes from now on, by its name."""
+    rows, write = {}, line_dedup.written
+
+    def counted(df, what):
+        out = write(df, what)
+        rows.setdefault(what, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    return rows
+
+
+def test_line_dedup_divides_by_shared_shingles_alone(spark, monkeypatch):
+    # shingles that one follower of a leader has are most, and make no rows of their own
+    monkeypatch.setattr(line_dedup, "PAIRED", 2)
+    monkeypatch.setattr(line_dedup, "FEW_PAIRS", 0)
+    tables = tables_of(monkeypatch)
+    rows = family(random.Random(6), 160, 60, 400, 60, 45)
+    assert removed(spark, rows)
+    assert tables["line-own"] and max(tables["line-parts"]) < 10 * len(rows), tables["line-parts"]
+
+
+def test_line_dedup_signs_lines_that_may_meet(spark, monkeypatch):
+    tables, rng = tables_of(monkeypatch), random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    rows = [(i, "".join(rng.choice(letters) for _ in range(200))) for i in range(300)]
+    rows += [(1000 + i, t[:-8] + "00000000") for i, t in rows[:20]]
+    assert len(removed(spark, rows)) == 20
+    assert tables["line-minima"][0] < 100 and tables["line-likely"][0] >= 20
+
+
+def test_line_sketches_lose_no_near_pair(spark):
+    rng = random.Random(13)
+    rows = [x for j, (size, changed) in enumerate([(30, 4), (60, 8), (100, 30), (400, 60), (400, 200)]) for _, x in family(rng, 20, 10, size, changed, 3)]
+    rows += ["short", "shorter", "wide \U0001f600 line of some more length", "wide \U0001f600 line of some more lengths", "aaaaaaaaaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
+    found = spark.createDataFrame([(i, x + "\n" + x) for i, x in enumerate(rows)], "doc_id long, text string")
+    texts = line_dedup._texts(line_dedup.lines(found))
+    keys = {r.line: r.key for r in texts.collect()}
+    # lines that meet no other one are not there
+    assert set(keys) < set(rows)
+    rows = [x for x in rows if x in keys]
+    pairs = spark.createDataFrame([(keys[a], keys[b]) for i, a in enumerate(rows) for b in rows[:i]], "a long, b long")
+    k = line_dedup.SHINGLE
+    sets = {x: {x[i : i + k] for i in range(max(1, len(x) - k + 1))} for x in rows}
+    near = {(keys[a], keys[b]) for i, a in enumerate(rows) for b in rows[:i] if 100 * len(sets[a] & sets[b]) >= line_dedup.LEAST * len(sets[a] | sets[b])}
+    likely = {(r.a, r.b) for r in line_dedup._likely(pairs, texts).collect()}
+    assert len(near) > 50 and near <= likely and len(likely) < pairs.count()
+
+
+def test_line_dedup_leaves_few_tables(spark):
+    # its scratch tables go as soon as nothing reads them
+    from docaudit.llm import common
+
+    root = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(root.iterdir())
+    removed(spark, [(i, f"the same line for all of them\nand number {i} of its own kind") for i in range(20)])
+    left = {p.name.split("-", 1)[1].rsplit("-", 1)[0] for p in set(root.iterdir()) - before}
+    assert not left & {"line-signatures", "line-minima", "line-bands", "line-buckets", "line-texts", "line-pairs", "line-scores"}, left
+
+
+def test_line_ends_are_trimmed_as_before(spark):
+    odd = ["a b", " a", "a ", "\ta\r", "\x0b a\x0c ", " ", "", "\t\r", "\u00a0a\u00a0", "A\u0130 ", "a \u2003"]
+    lines = {(r.doc_id, r.line) for r in line_dedup.lines(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")).collect()}
+    assert lines == {(i, t) for i, x in enumerate(odd) if (t := x.strip(" \t\r\x0b\x0c").lower())}
+
+
 def test_passages_are_embedded_by_whole_rows():
     import time
 
