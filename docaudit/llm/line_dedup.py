@@ -39,6 +39,8 @@ PAIRED, BLOCK, FEW = 32, 256, 200_000
 #: Large buckets are divided while they hold more pairs than FEW_PAIRS for each member of a bucket, which is linear work, and
 #: a division takes away the share DIVIDED of them; what is left is compared in blocks.
 FEW_PAIRS, DIVIDED = 8, 0.25
+#: Shingles that a task of a division deals out: its tasks grow in number with the work, and are even.
+DEALT = 1 << 14
 #: Minima of BANDS x ROWS (24) in which a pair must agree before its lines are compared: near pairs agree in 18 on average.
 AGREE = 11
 #: Odd factors of the hashes; multiplied modulo 2 ** 32, unlike XOR, they order the shingles independently of each other.
@@ -205,6 +207,12 @@ def _pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
     return pair.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows(own, ...) dealt out one by one over tasks of about DEALT shingles, as the rows of a leader or of a key lie together."""
+    total = rows.agg(F.coalesce(F.sum(F.size("own")), F.lit(0))).first()[0]
+    return rows.repartition(total // DEALT + 1)
+
+
 def _divided(members: DataFrame, scores: DataFrame, texts: DataFrame) -> DataFrame:
     """(band, key, component, n, rest) of smaller buckets that hold all near pairs of different components of members.
 
@@ -219,9 +227,7 @@ def _divided(members: DataFrame, scores: DataFrame, texts: DataFrame) -> DataFra
     others = lambda x, y: F.transform(F.array_except(x, y), lambda t: F.xxhash64(t))
     measured = _of_sets(lambda x, y, k: F.struct(F.size(x).cast("long").alias("n"), k.cast("long").alias("shared"), others(x, y).alias("own")))
     own = written(_with_lines(led, texts).select(F.col("a").alias("key"), F.col("b").alias("leader"), "component", measured.alias("m")).select("key", "leader", "component", "m.*"), "line-own")
-    # by key, as the rows of a leader lie together
-    dealt = own.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    each = dealt.select("leader", "key", "component", "n", F.size("own").alias("owns"), F.explode("own").alias("shingle"))
+    each = _dealt(own).select("leader", "key", "component", "n", F.size("own").alias("owns"), F.explode("own").alias("shingle"))
     each = each.select(F.xxhash64("leader", "shingle").alias("band"), "leader", "key", "component", "n", "owns")
     # shingles of one component, which are most, go before any are joined
     shared = written(each.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("followers")).where("c0 < c1").select("band", "followers"), "line-shared")

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docaudit.llm import components, decontam, html_text, line_dedup, ngram_join, quality, secret_scan
 
@@ -304,6 +305,22 @@ def test_components(spark):
     assert got == {x: root(x) for x in parent if root(x) != x}
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_components_of_few_links_are_not_shuffled(spark, monkeypatch, few):
+    plans, write = [], components.written
+
+    def noted(df, what):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, what)
+
+    monkeypatch.setattr(components, "written", noted)
+    if not few:
+        monkeypatch.setattr(components, "FEW", 0)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51)], "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 31)} | {51: 50}
+    assert len(plans) > 2 and all(("hashpartitioning" in x) != few for x in plans[1:])
+
+
 # --- decontamination
 
 
@@ -563,6 +580,15 @@ def test_line_dedup_divides_by_shared_shingles_alone(spark, monkeypatch):
     assert tables["line-own"] and max(tables["line-parts"]) < 10 * len(rows), tables["line-parts"]
 
 
+def test_line_dedup_deals_shingles_out_evenly(spark, monkeypatch):
+    # one key's rows, as of a line in many buckets, are not one task's work
+    monkeypatch.setattr(line_dedup, "DEALT", 16_000)
+    rows = line_dedup._dealt(spark.range(64).selectExpr("1L AS key", "id AS leader", "sequence(1, 1000) AS own"))
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(sizes) == 5 and sum(sizes) == 64 and max(sizes) <= 16
+    assert line_dedup._dealt(spark.range(0).selectExpr("id AS key", "sequence(1, 2) AS own")).count() == 0
+
+
 def test_line_dedup_signs_lines_that_may_meet(spark, monkeypatch):
     tables, rng = tables_of(monkeypatch), random.Random(12)
     letters = "abcdefghijklmnopqrstuvwxyz "
