@@ -173,6 +173,56 @@ def test_ratio_of_copies_needs_no_search(monkeypatch):
     assert text_compare._ratio("ab" * 3000, "ab" * 3000) == 1.0
 
 
+def test_ratios_of_many_pairs_are_those_of_sequence_matcher(monkeypatch):
+    """Copies, edits, periodic and empty texts, characters beyond 16 bits; also in small portions, where rectangles with many places go to SequenceMatcher."""
+    rng = random.Random(11)
+    texts = ["", "a", "ab" * 40, "ba" * 41 + "c", "中文投标方案\U00020000技术方案" * 4, "技术方案\U00020000中文投标" * 5]
+    for alphabet in ("ab", "abcdefgh", "etaoinshrdlucmf"):
+        words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 6))) for _ in range(12)]
+        whole = "".join(rng.choice(words) for _ in range(40))
+        texts += [whole, whole[9:60] + whole[:30], whole[:50] + "x" + whole[51:], "".join(rng.choice(words) for _ in range(30))]
+    i, j = np.divmod(np.arange(len(texts) ** 2), len(texts))
+    plain = np.array([SequenceMatcher(None, texts[a], texts[b], autojunk=False).ratio() for a, b in zip(i, j, strict=True)])
+    need = np.array([rng.random() for _ in i])
+    for points, chars in ((1 << 20, 1 << 17), (60, 500)):
+        monkeypatch.setattr(text_compare, "_POINTS", points)
+        monkeypatch.setattr(text_compare, "_CHARS", chars)
+        assert (text_compare._ratios(texts, i, j, np.zeros(len(i))) == plain).all()
+        some = text_compare._ratios(texts, i, j, need)
+        assert ((some == plain) | (some == 0))[plain < need].all() and (some == plain)[plain >= need].all()
+
+
+def test_ratios_of_a_batch_need_no_search_for_each_pair():
+    """1,440 pairs of 400 characters: a second or so, where SequenceMatcher takes ten or more."""
+    import time
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("etaoinshrdlucmf") for _ in range(rng.randint(2, 8))) for _ in range(60)]
+    texts = ["".join(rng.choice(words) for _ in range(80)) for _ in range(60)]
+    ids, ords, s = np.repeat(np.arange(5), 12), np.tile(np.arange(12), 5), config.TextCompare(sequence_gate=0.0)
+    began = time.process_time()
+    columns = text_compare._compare(7, ids, ords, texts, np.ones(60), s, True)
+    assert time.process_time() - began < 5
+    rows = list(zip(*[c.tolist() for c in columns], strict=True))
+    assert len(rows) == 10 * 144
+    for r in rows[::97]:
+        assert r[10] == SequenceMatcher(None, texts[12 * r[1] + r[3]], texts[12 * r[2] + r[4]], autojunk=False).ratio()
+
+
+def test_scores_of_a_least_with_ratios_are_those_of_all_above_it():
+    """Also where the ratio alone lifts a score above it: the same characters with others between them."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(9)]
+    texts = ["".join(rng.choice(words) for _ in range(12)) for _ in range(20)]
+    texts += ["".join(a + b for a, b in zip(t, "qrstuvwxyz" * 9)) for t in texts[:10]] + texts[5:15]
+    ids, ords, weights = np.repeat(np.arange(4), 10), np.tile(np.arange(10), 4), np.tile([1.0, 0.7], 20)
+    s = config.TextCompare(sequence_gate=0.0, min_shared=0)
+    every = list(zip(*[c.tolist() for c in text_compare._compare(7, ids, ords, texts, weights, s, True)], strict=True))
+    kept = lambda rows: [r for r in rows if round(r[-1], 6) >= 0.6]
+    some = kept(zip(*[c.tolist() for c in text_compare._compare(7, ids, ords, texts, weights, s, True, 0.6)], strict=True))
+    assert some == kept(every) and any(r[10] > max(r[8], r[9]) for r in some)
+
+
 def test_paragraphs_are_prepared_once(spark):
     plan = text_compare.prepared(paragraphs(spark, {1: (0, [(SHARED, None)])}), responses=("that the ",))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == 1 and plan.count("regexp_replace") == 1
